@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A null doc_id is carried under this key inside the operators, and is null again in their results.
 NULL_ID = -(2**63)
@@ -36,6 +37,10 @@ def materialize(df: DataFrame, tag: str, partitions: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hyperweft.llm import toxicity
+from hyperweft.llm import exactdedup, secretscan, tokens, toxicity
 from hyperweft.llm.common import table
 
 
@@ -14,8 +14,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.op2_token_ids(table(spark, sf_dir, "documents"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.op6_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.op9_exact_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_ids": op2_token_ids,
+    "op6_secrets": op6_secrets,
+    "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_dedup": exactdedup.OP9_SQL,
+}

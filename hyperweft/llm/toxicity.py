@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperweft.llm.common import slices
+from hyperweft.llm.common import slices, with_fields
 
 WORD = re.compile(r"\w+")
 
@@ -201,9 +201,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], params: ToxicityPara
         for b in slices(batches, text=at):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scorer(b.column(at).to_pylist()), pa.float64())], [*b.schema.names, "toxicity"])
 
-    from pyspark.sql.types import DoubleType, StructType
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("toxicity", DoubleType()))
+    return docs.mapInArrow(run, with_fields(docs.schema, "toxicity double"))
 
 
 def held_out(name: str = "doc_id"):
