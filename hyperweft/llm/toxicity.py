@@ -153,21 +153,21 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def fit(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> tuple[np.ndarray, float]:
-    """Train on labelled(doc_id, text, label): at most rows_of_0 and rows_of_1 rows of the labels, of lowest hash.
+def fit(docs: DataFrame, marks: DataFrame, params: ToxicityParams = ToxicityParams()) -> tuple[np.ndarray, float]:
+    """Train on docs(doc_id, text) with marks(doc_id, label): at most rows_of_0 and rows_of_1 rows of the labels, of lowest hash.
 
-    The sample goes to one task, which trains and returns one weight per table row. Without rows of
-    both labels every score is the share of label 1 (0 without rows).
+    The sample is chosen from ids alone; its texts go to one task, which trains and returns one weight per
+    table row. Without rows of both labels every score is the share of label 1 (0 without rows).
     """
     p = params
-    marked = labelled.filter(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    marked = marks.filter("doc_id is not null").filter(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int")).distinct()
+    marked = marked.join(docs.select("doc_id"), "doc_id", "left_semi")
     sample = None
     for label, most in ((0, p.rows_of_0), (1, p.rows_of_1)):
-        part = marked.filter(F.col("label") == label).distinct().orderBy(*order).limit(most)
+        part = marked.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         sample = part if sample is None else sample.unionByName(part)
     # at most rows_of_0 + rows_of_1 ids: bounded whatever the input
-    texts = labelled.select("doc_id", "text", "label").join(F.broadcast(sample), ["doc_id", "label"], "left_semi").dropDuplicates(["doc_id", "label"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
@@ -180,7 +180,7 @@ def fit(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> tuple
             weights, bias = train([r[1] for r in rows], labels, p)
         yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "bias": [bias]})
 
-    row = texts.select("doc_id", "text", F.col("label").cast("int")).repartition(1).mapInArrow(run, "weights binary, bias double").first()
+    row = texts.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "weights binary, bias double").first()
     if row is None:
         return np.zeros(p.buckets, np.float32), float(np.log(1e-9))
     return np.frombuffer(row["weights"], dtype=np.float32), row["bias"]
@@ -208,14 +208,13 @@ def held_out(name: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(name).cast("string")) % 3 == 1, F.lit(False))
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the documents that may be learned from."""
-    marks = labels.select("doc_id", F.col("toxic").alias("label")).filter("doc_id is not null and label is not null")
-    return docs.filter(~held_out()).select("doc_id", "text").join(marks, "doc_id")
+def learnable(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of labels that may be learned from."""
+    return labels.filter(~held_out()).select("doc_id", F.col("toxic").alias("label"))
 
 
 def op10_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    model = fit(labelled_documents(docs, labels), params)
+    model = fit(docs, learnable(labels), params)
     scored = score(docs.select("doc_id", "text"), model, params)
     return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= params.threshold).cast("int").alias("predicted"))
