@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hyperweft.llm import exactdedup, secretscan, tokens, toxicity
+from hyperweft.llm import exactdedup, html, langid, secretscan, tokens, toxicity
 from hyperweft.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.op2_token_ids(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op4_language_id(table(spark, sf_dir, "documents"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.op5_html(table(spark, sf_dir, "pages"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.op6_secrets(table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_ids": op2_token_ids,
+    "op4_language_id": op4_language_id,
+    "op5_html": op5_html,
     "op6_secrets": op6_secrets,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
