@@ -51,6 +51,7 @@ LABELLED = [
     ((2, 0.0, 0, 0.0, 1, 1.0, 0, 0), 0), ((15, 0.6, 8, 0.8, 12, 0.7, 0, 0), 0), ((18, 0.0, 1, 1.0, 2, 1.0, 0, 0), 1), ((33, 0.2, 10, 0.0, 14, 0.0, 0, 0), 1),
     ((3, 0.0, 2, 0.0, 4, 0.0, 1, 0), 1), ((5, 0.0, 5, 0.0, 3, 0.0, 1, 0), 1), ((2, 0.0, 3, 1.0, 2, 0.0, 1, 0), 1), ((7, 0.0, 0, 0.0, 7, 0.0, 1, 0), 1),
     ((6, 0.0, 2, 0.0, 0, 0.0, 1, 0), 1), ((4, 0.2, 9, 0.0, 1, 0.0, 1, 0), 1), ((2, 0.0, 1, 0.0, 1, 0.0, 1, 0), 1), ((7, 0.0, 6, 0.0, 12, 0.0, 1, 0), 1),
+    ((4, 0.0, 9, 0.0, 3, 1.0, 1, 0), 1), ((2, 0.0, 1, 0.0, 1, 1.0, 1, 0), 1), ((9, 0.0, 3, 1.0, 4, 1.0, 1, 0), 1), ((3, 0.0, 0, 0.0, 0, 0.0, 1, 0), 1),
     ((200, 0.02, 1, 1.0, 5, 0.0, 0, 0), 1), ((70, 0.0, 0, 0.0, 0, 0.0, 0, 0), 1), ((11, 0.0, 70, 0.0, 6, 0.0, 0, 0), 1), ((2, 0.0, 60, 0.0, 80, 0.0, 0, 0), 1),
 ]
 
