@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hyperweft.llm import exactdedup, html, langid, secretscan, tokens, toxicity
+from hyperweft.llm import exactdedup, html, langid, mixing, secretscan, tokens, toxicity
 from hyperweft.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op1_mixing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.op2_token_ids(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_token_ids": op2_token_ids,
     "op4_language_id": op4_language_id,
     "op5_html": op5_html,
