@@ -1,0 +1,36 @@
+"""Connected components of a large edge table, in a few Spark rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hyperweft.llm.common import materialize
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) for every node of edges(a, b): root is the smallest node of its component.
+
+    Alternating large-star and small-star rounds (Kiveris et al., 2014): every round joins each node to the
+    smallest neighbour, and their number grows with the logarithm of the nodes. Neighbourhoods aren't
+    gathered: the smallest neighbour is an aggregate that combines before the shuffle, and a join brings it back.
+    """
+    pairs = edges.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).filter("low <> high").distinct()
+    pairs = materialize(pairs, "edges")
+    before = None
+    while True:
+        # large star: every larger neighbour of a node meets the smallest of the node and its neighbours
+        both = pairs.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(pairs.select(F.col("high").alias("u"), F.col("low").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("low"), F.col("v").alias("high")).filter("low <> high").distinct()
+        # small star: every smaller neighbour of a node, and the node, meet the smallest of them
+        least = large.groupBy("high").agg(F.min("low").alias("m"))
+        joined = large.join(least, "high")
+        small = joined.select(F.col("m").alias("low"), F.col("low").alias("high")).unionByName(joined.select(F.col("m").alias("low"), "high"))
+        pairs = materialize(small.filter("low <> high").distinct(), "edges")
+        sums = pairs.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
+        if sums == before:
+            break
+        before = sums
+    members = pairs.select(F.col("high").alias("node"), F.col("low").alias("root"))
+    return members.unionByName(pairs.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct())

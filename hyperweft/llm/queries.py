@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hyperweft.llm import exactdedup, html, langid, mixing, secretscan, tokens, toxicity
+from hyperweft.llm import exactdedup, html, langid, mixing, nearjoin, secretscan, tokens, toxicity
 from hyperweft.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.op2_token_ids(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.op3_ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op4_language_id(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_token_ids": op2_token_ids,
+    "op3_ngram_join": op3_ngram_join,
     "op4_language_id": op4_language_id,
     "op5_html": op5_html,
     "op6_secrets": op6_secrets,
