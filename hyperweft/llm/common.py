@@ -87,34 +87,69 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash, remembered; forgets everything at `limit` words, which bounds its memory."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-_WORDS: WordHashes | None = None
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    """Hashes of words, remembered per Python worker."""
-    global _WORDS
-    if _WORDS is None:
-        _WORDS = WordHashes()
-    return _WORDS.of(words)
+#: Bytes that end a word: white space, and all ASCII but letters, digits and _.
+SPACES = np.zeros(256, dtype=bool)
+SPACES[[32, *range(9, 14)]] = True
+MARKS = np.array([c < 128 and not (chr(c).isalnum() or c == 95) for c in range(256)])
+#: Lower case for A-Z alone.
+FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
+_POWERS: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 1 << 20)
+        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        for k, base in enumerate((_BASE, inverse)):
+            out = np.full(size, base, dtype=np.uint64)
+            out[0] = 1
+            _POWERS[k] = np.multiply.accumulate(out)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts, one after the other, and each text's start (one more at the end); null is empty."""
+    column = column.cast(pa.string()).fill_null("")
+    _, where, data = column.buffers()
+    offsets = np.frombuffer(where, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash, first byte, end byte) of every word, and the place of each text's first word (one more at the end).
+
+    A hash is a polynomial of the word's bytes modulo 2**64 over random byte values, scrambled: equal words have
+    equal hashes wherever they stand, and no string is made.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    inside = ~ends_word[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    borders = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < n)]
+    first[borders] = inside[borders]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    last[borders - 1] = inside[borders - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    power, inverse = _powers(n)
+    value = _BYTES[data] * power
+    total = np.cumsum(value)
+    h = mix((total[end - 1] - total[start] + value[start]) * inverse[start])
+    return h, start, end, np.searchsorted(start, offsets, "left")
+
+
+def sequence_names(h: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each text's sequence of word hashes; texts: the place of each one's first word, and the end."""
+    power, inverse = _powers(len(h) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)])])
+    return mix((total[texts[1:]] - total[texts[:-1]]) * inverse[texts[:-1]] + np.diff(texts).astype(np.uint64)).view(np.int64)
 
 
 SPACE = re.compile(r"[ \t\n\r\f\v]+")

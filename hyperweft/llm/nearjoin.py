@@ -1,6 +1,6 @@
 """N-gram Jaccard join: a MinHash LSH forest with exact verification.
 
-1. A text is the set of hashes of five consecutive words (lower case, split at white space). Texts with the
+1. A text is the set of hashes of five consecutive words (split at ASCII white space, A-Z as a-z). Texts with the
    same words are one class; its copies take part as one.
 2. Each class has `trees` signatures of up to `depth` MinHashes. Classes that share a prefix of a tree's
    sorted signatures meet in one node of its trie. Prefixes are shortened from `depth` until a pair of exactly the
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperweft.llm.common import BROADCAST_BYTES, id_back, id_key, materialize, mix, shingles, slices, word_hashes
+from hyperweft.llm.common import BROADCAST_BYTES, FOLD, SPACES, hashed_words, id_back, id_key, materialize, mix, sequence_names, shingles, slices, text_bytes
 from hyperweft.llm.components import components
 
 BLOCK = 400
@@ -48,15 +48,15 @@ def prefix_length(p: NearParams) -> int:
     return k
 
 
-def words_of(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
+def named_sets(column: pa.Array, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each text's class (a 64-bit name of its words) and set of shingle hashes."""
+    data, offsets = text_bytes(column)
+    h, _, _, texts = hashed_words(FOLD[data], offsets, SPACES)
+    return sequence_names(h, texts), [shingles(h[a:b], words) for a, b in zip(texts[:-1], texts[1:], strict=True)]
 
 
-def text_class(words: list[str]) -> int:
-    """A 64-bit name of a word sequence."""
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - (1 << 63)
+#: The class of texts without words.
+NO_WORDS = int(sequence_names(np.zeros(0, np.uint64), np.zeros(2, np.int64))[0])
 
 
 def signatures(sets: list[np.ndarray], p: NearParams, k: int) -> np.ndarray:
@@ -81,11 +81,7 @@ def signed(docs: DataFrame, p: NearParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, rows=128, chars=1 << 20):
-            names, sets = [], []
-            for t in b.column(1).to_pylist():
-                words = words_of(t)
-                names.append(text_class(words))
-                sets.append(shingles(word_hashes(words), p.words))
+            names, sets = named_sets(b.column(1), p.words)
             full = [i for i, s in enumerate(sets) if len(s)]
             sign: list[bytes | None] = [None] * len(sets)
             if full:
@@ -205,13 +201,9 @@ def _shingled(docs: DataFrame, placed: DataFrame, p: NearParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, chars=1 << 20):
-            keep, sets = [], []
-            for i, (c, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                words = words_of(t)
-                if text_class(words) == c:  # a repeated doc_id may have another text
-                    keep.append(i)
-                    sets.append(shingles(word_hashes(words), p.words).tobytes())
-            part = b.take(pa.array(keep, pa.int64()))
+            names, sets = named_sets(b.column(1), p.words)
+            keep = np.flatnonzero(names == b.column(0).to_numpy())  # a repeated doc_id may have another text
+            part, sets = b.take(pa.array(keep)), [sets[i].tobytes() for i in keep]
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (0, 2, 3, 4)), pa.array(sets, pa.binary())], ["class", "cluster", "blocks", "block", "set"])
 
     return joined.mapInArrow(run, "class long, cluster long, blocks int, block int, set binary")
@@ -248,8 +240,7 @@ def one_of_each(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
     the same words all stay.
     """
     found = near_duplicates(docs, params)
-    empty = text_class([])
-    keep = materialize(found.filter(F.col("class") != empty).groupBy("group").agg(F.min(F.struct("id", "class")).alias("k")).select(F.col("k.id").alias("__id")), "kept").distinct()
-    drop = materialize(found.filter(F.col("class") != empty).select(F.col("id").alias("__id")).distinct().join(keep, "__id", "left_anti"), "dropped")
+    keep = materialize(found.filter(F.col("class") != NO_WORDS).groupBy("group").agg(F.min(F.struct("id", "class")).alias("k")).select(F.col("k.id").alias("__id")), "kept").distinct()
+    drop = materialize(found.filter(F.col("class") != NO_WORDS).select(F.col("id").alias("__id")).distinct().join(keep, "__id", "left_anti"), "dropped")
     side = F.broadcast(drop) if drop.count() * 16 <= BROADCAST_BYTES else drop
     return docs.withColumn("__id", id_key()).join(side, "__id", "left_anti").select(*docs.columns)
