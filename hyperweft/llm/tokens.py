@@ -18,15 +18,17 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperweft.llm.common import SPACE, id_back, id_key, shared_dir, slices
+from hyperweft.llm.common import id_back, id_key, shared_dir, slices
 
 HEAD = np.dtype([("magic", "S4"), ("version", "<u2"), ("width", "<u2"), ("vocab", "<u4"), ("block", "<u4"), ("docs", "<u8"), ("ids", "<u8"), ("blocks", "<u8")])
 BLOCK = 4096
@@ -107,27 +109,50 @@ class Shard:
         return self.range(self.starts[k], self.starts[k + 1])
 
 
+def plain(piece: str) -> tuple[str, str]:
+    """A piece in the form in which it is encoded, and a comma or full stop after its letters, which is a token of its own.
+
+    The tokenizer composes and lower-cases. ASCII letters are lower-cased beforehand where that can't change how
+    the piece composes.
+    """
+    low = piece.lower() if piece.isascii() else piece.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    if not low.isascii() and not (is_normalized("NFC", low) and is_normalized("NFC", piece)):
+        low = piece
+    if low[-1:] in (",", ".") and low[:-1].isalpha():
+        return low[:-1], low[-1]
+    return low, ""
+
+
 class Encoder:
-    """Whole texts to ids. The tokenizer drops white space and never joins across it, so each distinct piece between spaces is encoded once and remembered, for at most `limit` pieces."""
+    """Whole texts to ids.
+
+    The tokenizer drops white space and never joins across it, so pieces between spaces are encoded once and
+    remembered. Beyond `limit` pieces only those of the current batch are kept, among them all frequent ones.
+    """
 
-    def __init__(self, definition: str, end: int | None, limit: int = 400_000):
+    def __init__(self, definition: str, end: int | None, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.end, self.limit = b"" if end is None else int(end).to_bytes(4, "little"), limit
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, pieces: set[str]) -> None:
+        new = [(w, *plain(w)) for w in pieces.difference(self.known)]
+        stems = list({x for _, stem, tail in new for x in (stem, tail)}.difference(self.known))
+        for i in range(0, len(stems), 20_000):
+            part = stems[i : i + 20_000]
+            ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self.known.update(zip(part, ids, strict=True))
+        known = self.known
+        known.update([(w, known[stem] + known[tail]) for w, stem, tail in new])
+        if len(known) > self.limit:
+            self.known = {w: known[w] for w in pieces}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [SPACE.sub(" ", t).split(" ") if t else [] for t in texts]
-        new = list({w for doc in pieces for w in doc if w not in self.known})
-        if len(self.known) + len(new) > self.limit:
-            self.known = {"": b""}
-            new = list({w for doc in pieces for w in doc})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        pieces = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
+        self._learn(set().union(*pieces))
         return [b"".join(chain(map(self.known.__getitem__, doc), (self.end,))) for doc in pieces]
 
 
@@ -159,7 +184,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int | None = 2
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "first_id": [ids[0]], "before": [before], "n_docs": [len(ids)], "n_ids": [size], "image": [shard_image(ids, held, vocab)]}, schema=schema)
 
-        for b in slices(batches):
+        for b in slices(batches, rows=2048, chars=2 << 20):
             for i, raw in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
                 ids.append(i)
                 held.append(raw)
@@ -185,7 +210,7 @@ def read_shards(spark, path: str) -> DataFrame:
     parts = shards.groupBy("part").agg(F.min("first_id").alias("least"), F.sum("n_ids").alias("total"))
     order = Window.orderBy("least", "part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("part_start"))
-    return shards.join(parts, "part").withColumn("start", F.col("part_start") + F.col("before")).drop("part_start")
+    return shards.join(F.broadcast(parts), "part").withColumn("start", F.col("part_start") + F.col("before")).drop("part_start")
 
 
 def read_documents(spark, path: str) -> DataFrame:
