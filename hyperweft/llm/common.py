@@ -120,9 +120,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hashed_words(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit hash, first byte, end byte) of every word, and the place of each text's first word (one more at the end).
 
+    alone: bytes that are words of their own after an ASCII letter, at the end of a word.
+
     A hash is a polynomial of the word's bytes modulo 2**64 over random byte values, scrambled: equal words have
     equal hashes wherever they stand, and no string is made.
     """
@@ -137,6 +139,11 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray) -
     last = inside.copy()
     last[:-1] &= ~inside[1:]
     last[borders - 1] = inside[borders - 1]
+    if alone is not None:
+        tails = np.flatnonzero(last & alone[data])
+        before = data[tails - 1] | 32
+        tails = tails[(tails > 0) & (before >= 97) & (before <= 122) & ~first[tails]]
+        first[tails], last[tails - 1] = True, True
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     power, inverse = _powers(n)
     value = _BYTES[data] * power

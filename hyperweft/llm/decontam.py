@@ -29,6 +29,11 @@ from pyspark.sql import functions as F
 
 from hyperweft.llm.common import BROADCAST_BYTES, FOLD, MARKS, hashed_words, id_back, id_key, materialize, mix, slices, text_bytes
 
+ONE = np.uint64(1)
+#: One odd factor for each sampled position of a key.
+ODD = [np.uint64(int(x) * 2 + 1) for x in np.random.default_rng(41).integers(2**60, 2**63, 16)]
+
+
 @dataclass(frozen=True)
 class DecontamParams:
     """items_at_once bounds what is broadcast; more items take more passes."""
@@ -94,18 +99,19 @@ class Index:
         """(table, one key for each start in at) for all tables; h ends with words enough for any walk."""
         for w in range(self.p.walks):
             coins = mix(h ^ self.seeds[w])
-            wanted: dict[int, list] = {}
-            keys = {(c, s): np.full(len(at), (c * self.p.walks + w) * self.p.samples + s, dtype=np.uint64) for c, _ in plans for s in range(self.p.samples)}
+            read: dict[int, list] = {}
             for c, pos in plans:
                 for s in range(self.p.samples):
-                    for j in pos[w, s]:
-                        wanted.setdefault(int(j), []).append((c, s))
+                    for b, j in enumerate(pos[w, s].tolist()):
+                        read.setdefault(j, []).append(((c, s), ODD[b % len(ODD)]))
+            keys: dict[tuple[int, int], np.ndarray] = {}
             here = at.copy()
             for j in range(steps):
-                for key in wanted.get(j, ()):
-                    keys[key] = (keys[key] ^ h[here]) * np.uint64(0x9E3779B97F4A7C15)
-                    keys[key] ^= keys[key] >> np.uint64(29)
-                here += ((coins[here] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
+                if j in read:
+                    word = h[here]
+                    for key, odd in read[j]:
+                        keys[key] = keys[key] + word * odd if key in keys else word * odd
+                here += ((coins[here] >> np.uint64(j)) & ONE).astype(np.int64)
             for (c, s), v in keys.items():
                 yield (c * self.p.walks + w) * self.p.samples + s, v
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 from unicodedata import is_normalized
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperweft.llm.common import id_back, id_key, shared_dir, slices
+from hyperweft.llm.common import SPACES, hashed_words, id_back, id_key, shared_dir, slices, text_bytes
 
 HEAD = np.dtype([("magic", "S4"), ("version", "<u2"), ("width", "<u2"), ("vocab", "<u4"), ("block", "<u4"), ("docs", "<u8"), ("ids", "<u8"), ("blocks", "<u8")])
 BLOCK = 4096
@@ -68,10 +67,9 @@ def unpack(raw: bytes, n: int, width: int) -> np.ndarray:
     return (lanes & np.uint64((1 << width) - 1)).ravel()[:n].astype(np.uint32)
 
 
-def shard_image(doc_ids: list[int], docs: list[bytes], vocab: int) -> bytes:
-    """docs: each document's ids as little-endian unsigned 32-bit integers."""
-    width, ids = bits(vocab), np.frombuffer(b"".join(docs), dtype="<u4")
-    starts = np.concatenate([[0], np.cumsum([len(d) // 4 for d in docs])]).astype("<u8")
+def shard_image(doc_ids: list[int], docs: list[np.ndarray], vocab: int) -> bytes:
+    width, ids = bits(vocab), np.concatenate(docs)
+    starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype("<u8")
     blocks = [pack(ids[i : i + BLOCK], width) for i in range(0, len(ids), BLOCK)]
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
     head = np.array([(b"HWTK", 1, width, vocab, BLOCK, len(docs), len(ids), len(blocks))], dtype=HEAD)
@@ -109,51 +107,84 @@ class Shard:
         return self.range(self.starts[k], self.starts[k + 1])
 
 
-def plain(piece: str) -> tuple[str, str]:
-    """A piece in the form in which it is encoded, and a comma or full stop after its letters, which is a token of its own.
-
-    The tokenizer composes and lower-cases. ASCII letters are lower-cased beforehand where that can't change how
-    the piece composes.
-    """
-    low = piece.lower() if piece.isascii() else piece.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    if not low.isascii() and not (is_normalized("NFC", low) and is_normalized("NFC", piece)):
-        low = piece
-    if low[-1:] in (",", ".") and low[:-1].isalpha():
-        return low[:-1], low[-1]
-    return low, ""
+#: Marks that the tokenizer always parts from a letter before and white space after them.
+ALONE = np.zeros(256, dtype=bool)
+ALONE[[ord(","), ord(".")]] = True
 
 
 class Encoder:
-    """Whole texts to ids.
+    """Texts to ids, by encoding each distinct word once.
 
-    The tokenizer drops white space and never joins across it, so pieces between spaces are encoded once and
-    remembered. Beyond `limit` pieces only those of the current batch are kept, among them all frequent ones.
+    The tokenizer drops white space, never joins across it, and lower-cases. So texts are cut at white space (and
+    before a comma or full stop that ends a word), and A-Z are folded where that can't change what the tokenizer
+    composes or takes for a special token. Words are told apart by 64-bit hashes; a direct-mapped table remembers
+    the ids of up to 2**bits words, and its pool of ids starts anew at `pool` ids, which bounds the memory.
     """
 
-    def __init__(self, definition: str, end: int | None, limit: int = 500_000):
+    def __init__(self, definition: str, end: int | None, bits: int = 19, pool: int = 8 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.end, self.limit = b"" if end is None else int(end).to_bytes(4, "little"), limit
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = [(w, *plain(w)) for w in pieces.difference(self.known)]
-        stems = list({x for _, stem, tail in new for x in (stem, tail)}.difference(self.known))
-        for i in range(0, len(stems), 20_000):
-            part = stems[i : i + 20_000]
-            ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self.known.update(zip(part, ids, strict=True))
-        known = self.known
-        known.update([(w, known[stem] + known[tail]) for w, stem, tail in new])
-        if len(known) > self.limit:
-            self.known = {w: known[w] for w in pieces}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        self._learn(set().union(*pieces))
-        return [b"".join(chain(map(self.known.__getitem__, doc), (self.end,))) for doc in pieces]
+        self.end = np.array([] if end is None else [end], dtype=np.uint32)
+        self.shift, self.limit = np.uint64(64 - bits), pool
+        self._reset()
+
+    def _reset(self) -> None:
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.start, self.count = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        # the end id is at the front
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), len(self.end)
+        self.pool[: self.used] = self.end
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's ids start in the pool, and how many there are."""
+        starts, counts = [], []
+        for i in range(0, len(words), 20_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            total = int(n.sum())
+            while self.used + total > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+            self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+            starts.append(self.used + np.cumsum(n) - n)
+            counts.append(n)
+            self.used += total
+        return (np.concatenate(starts), np.concatenate(counts)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids start and one more)."""
+        if self.used > self.limit:
+            self._reset()
+        data, offsets = text_bytes(column)
+        data = _folded(data)
+        h, first, last, texts = hashed_words(data, offsets, SPACES, ALONE)
+        words, where, inverse = np.unique(h, return_index=True, return_inverse=True)
+        slot = (words >> self.shift).astype(np.int64)
+        start, count = self.start[slot], self.count[slot]
+        new = np.flatnonzero((self.keys[slot] != words) | (words == 0))
+        if len(new):
+            raw = data.tobytes()
+            at = where[new]
+            start[new], count[new] = self._encode([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)])
+            to = slot[new]
+            self.keys[to], self.start[to], self.count[to] = words[new], start[new], count[new]
+        # after each text's words comes the end id, which stands at the front of the pool
+        start, count = (np.insert(x[inverse], texts[1:], v) for x, v in ((start, 0), (count, len(self.end))))
+        before = np.concatenate([[0], np.cumsum(count)])
+        ids = self.pool[np.repeat(start - before[:-1], count) + np.arange(before[-1])]
+        return ids, before[texts + np.arange(len(texts))]
+
+
+def _folded(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z, unless the bytes may hold a special token, or marks that compose with other letters once these are folded."""
+    raw = data.tobytes()
+    if b"<|" in raw:
+        return data
+    low = raw.lower()
+    if not raw.isascii() and not (is_normalized("NFC", raw.decode("utf-8", "surrogatepass")) and is_normalized("NFC", low.decode("utf-8", "surrogatepass"))):
+        return data
+    return np.frombuffer(low, dtype=np.uint8)
 
 
 def vocabulary(definition: str) -> int:
@@ -185,10 +216,11 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int | None = 2
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "first_id": [ids[0]], "before": [before], "n_docs": [len(ids)], "n_ids": [size], "image": [shard_image(ids, held, vocab)]}, schema=schema)
 
         for b in slices(batches, rows=2048, chars=2 << 20):
-            for i, raw in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+            found, at = encode(b.column(1))
+            for k, i in enumerate(b.column(0).to_pylist()):
                 ids.append(i)
-                held.append(raw)
-                size += len(raw) // 4
+                held.append(found[at[k] : at[k + 1]])
+                size += int(at[k + 1] - at[k])
                 if size >= shard_ids:
                     yield row()
                     ids, held, size, before, seq = [], [], 0, before + size, seq + 1
