@@ -130,24 +130,18 @@ def aligned(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def erfc(x: float) -> float:
-    return math.erfc(x)
-
-
 def normal_tail(z: Column) -> Column:
-    """P(Z > z), by the continued fraction of the complementary error function (|error| < 1e-13 beyond 2.5) and its series below."""
+    """P(Z > z): the series of the error function for small z, the continued fraction of its complement beyond."""
     x = F.abs(z) / math.sqrt(2)
-    term, total = x, x
-    for k in range(1, 60):
-        term = term * (-1) * x * x / k
-        total = total + term / (2 * k + 1)
-    small = 1 - 2 / math.sqrt(math.pi) * total
-    frac = x
-    for k in range(60, 0, -1):
-        frac = x + F.lit(k / 2) / frac
-    large = F.exp(-x * x) / math.sqrt(math.pi) / frac
-    half = F.when(x < 2.0, small).otherwise(large) / 2
-    return F.when(z >= 0, half).otherwise(1 - half)
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(60)),
+        F.struct(x.alias("term"), x.alias("total")),
+        lambda acc, k: F.struct((-acc["term"] * x * x / k).alias("term"), (acc["total"] - acc["term"] * x * x / k / (2 * k + 1)).alias("total")),
+        lambda acc: acc["total"],
+    )
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x, lambda acc, k: x + k / 2 / acc)
+    tail = F.when(x < 2.0, 1 - 2 / math.sqrt(math.pi) * series).otherwise(F.exp(-x * x) / math.sqrt(math.pi) / fraction) / 2
+    return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, by: list[str] | None = None, least: int = 3) -> DataFrame:
