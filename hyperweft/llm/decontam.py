@@ -171,8 +171,8 @@ class Index:
         low, high = max(begin, first - most), min(end, first + len(item) + most)
         if best.get((doc, k), (1, 0))[0] == 0:
             return
-        # all but `most` of the item's words must be somewhere in the window
-        if sum(map(self.bags[k].__contains__, flat[low:high])) < len(item) - most:
+        # all but `most` of the item's different words must be somewhere in the window
+        if len(self.bags[k].intersection(flat[low:high])) < len(self.bags[k]) - most:
             return
         window = h[low:high]
         edits, stop = edit_distance(item, window)
