@@ -92,6 +92,8 @@ class Local:
         pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1) if u else np.zeros((2, 0), np.int64)
         self.graph = Adjacency(pairs[0], pairs[1], self.nodes)
         self._measures: dict[int, dict[int, float]] = {}
+        self._results: dict[tuple[int, ...], dict] = {}
+        self._distances: dict[tuple, float] = {}
 
     def members(self, k: int) -> np.ndarray:
         return self.node[self.first[k] : self.first[k] + self.card[k]]
@@ -123,8 +125,16 @@ class Local:
         return np.union1d(base, found)
 
     def curvature(self, k: int) -> dict:
-        """The barycentre result of one hyperedge."""
-        p, members = self.p, self.members(k).tolist()
+        """The barycentre result of one hyperedge; equal hyperedges that a task meets share it."""
+        members = tuple(self.members(k).tolist())
+        if members not in self._results:
+            if len(self._results) >= 10_000:
+                self._results.clear()
+            self._results[members] = self._curvature(list(members))
+        return self._results[members]
+
+    def _curvature(self, members: list[int]) -> dict:
+        p = self.p
         out = {"card": len(members), "n_support": len(members), "rounds": 0, "gap": 0.0, "costs": [], "mean_cost": 0.0, "curvature": 0.0, "method": "trivial"}
         if len(members) <= 1:
             return out
@@ -164,21 +174,27 @@ class Local:
         members = self.members(k).tolist()
         if len(members) < 2:
             return float("nan")
-        walks = [self.dispersed(m, dispersion) for m in members]
-        at = self.graph.index(sorted({x for w in walks for x in w}))
-        block = self.graph.block(at, 5)
-        label = {x: i for i, x in enumerate(self.graph.labels[at].tolist())}
-        found = []
-        for i in range(len(members)):
-            for j in range(i + 1, len(members)):
-                if reg is None:
-                    found.append(wasserstein(walks[i], walks[j], lambda a, b: block[label[a], label[b]]))
-                else:
-                    a, b = list(walks[i]), list(walks[j])
-                    cost = block[np.ix_([label[x] for x in a], [label[x] for x in b])].astype(float)
-                    found.append(sinkhorn(np.array([walks[i][x] for x in a]), np.array([walks[j][x] for x in b]), cost, reg))
+        found = [self._distance(a, b, dispersion, reg) for i, a in enumerate(members) for b in members[i + 1 :]]
         return 1.0 - (max(found) if aggregation == "max" else sum(found) / len(found))
 
+    def _distance(self, a: int, b: int, dispersion: str, reg: float | None) -> float:
+        """Transport distance of two nodes' walks, remembered for at most a million pairs."""
+        key = (a, b, dispersion, reg)
+        if key not in self._distances:
+            if len(self._distances) >= 1_000_000:
+                self._distances.clear()
+            p, q = self.dispersed(a, dispersion), self.dispersed(b, dispersion)
+            at = self.graph.index(sorted({*p, *q}))
+            block = self.graph.block(at, 5)
+            label = {x: i for i, x in enumerate(self.graph.labels[at].tolist())}
+            if reg is None:
+                found = wasserstein(p, q, lambda x, y: block[label[x], label[y]])
+            else:
+                cost = block[np.ix_([label[x] for x in p], [label[y] for y in q])].astype(float)
+                found = sinkhorn(np.array(list(p.values())), np.array(list(q.values())), cost, reg)
+            self._distances[key] = found
+        return self._distances[key]
+
     def dispersed(self, node: int, dispersion: str) -> dict[int, float]:
         """star: hyperedges weigh the same; clique: neighbours weigh the same; weighted_clique: by the number of common hyperedges."""
         if dispersion == "star":
@@ -210,14 +226,14 @@ RESULT = "edge long, card int, n_support int, rounds int, gap double, costs arra
 
 
 def mmot_curvature(inc: DataFrame, params: TransportParams = TransportParams(), only: DataFrame | None = None) -> DataFrame:
-    """The barycentre curvature of all hyperedges (of only(edge), if given). Hyperedges are dealt out evenly, and large ones come first."""
+    """The barycentre curvature of all hyperedges (of only(edge), if given). Equal hyperedges meet in one task, and large ones come first."""
     raw, n = _packed(inc)
     spark = inc.sparkSession
     shared = spark.sparkContext.broadcast(raw)
-    todo = inc.groupBy("edge").agg(F.count("*").alias("card"))
+    todo = hyperedges(inc).select("edge", "card", "key")
     if only is not None:
         todo = todo.join(only.select("edge").distinct(), "edge", "left_semi")
-    todo = todo.repartition(F.xxhash64("edge")).sortWithinPartitions(F.desc("card"))
+    todo = todo.repartition("key").sortWithinPartitions(F.desc("card"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = None

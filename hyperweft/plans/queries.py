@@ -287,7 +287,7 @@ def _(s, d):
 
 @query(
     "node_measure",
-    """SELECT src, dst, round(sum(mass), 6) AS mass FROM (
+    """SELECT src, dst, round(sum(mass), 12) AS mass FROM (
   SELECT a.node AS src, b.node AS dst, 0.99 / deg / (a.card - 1) AS mass FROM ic a JOIN ic b ON a.edge = b.edge AND a.node <> b.node JOIN deg ON deg.node = a.node
   UNION ALL SELECT node, node, 0.01 FROM deg
   UNION ALL SELECT ic.node, ic.node, 0.99 / deg FROM ic JOIN deg USING (node) WHERE card = 1) GROUP BY src, dst""",
@@ -295,7 +295,7 @@ def _(s, d):
     CARDS + ", deg AS (SELECT node, count(*) AS deg FROM inc GROUP BY node)",
 )
 def _(s, d):
-    return transport.node_measure(view(s, d, "session")).select("src", "dst", r6("mass").alias("mass"))
+    return transport.node_measure(view(s, d, "session")).select("src", "dst", F.round("mass", 12).alias("mass"))
 
 
 @query(
