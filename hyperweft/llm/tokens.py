@@ -107,13 +107,16 @@ class Shard:
         return self.range(self.starts[k], self.starts[k + 1])
 
 
+#: A character between words that are encoded together, and how many are.
+MARK = "\x01"
+BUNDLE = 1000
 #: Marks that the tokenizer always parts from a letter before and white space after them.
 ALONE = np.zeros(256, dtype=bool)
 ALONE[[ord(","), ord(".")]] = True
 
 
 class Encoder:
-    """Texts to ids, by encoding each distinct word once.
+    """Texts to ids, by encoding each distinct word once; for tokenizers of this kind (see WholeEncoder for others).
 
     The tokenizer drops white space, never joins across it, and lower-cases. So texts are cut at white space (and
     before a comma or full stop that ends a word), and A-Z are folded where that can't change what the tokenizer
@@ -121,12 +124,14 @@ class Encoder:
     the ids of up to 2**bits words, and its pool of ids starts anew at `pool` ids, which bounds the memory.
     """
 
-    def __init__(self, definition: str, end: int | None, bits: int = 19, pool: int = 8 << 20):
+    def __init__(self, definition: str, end: int | None, bits: int = 21, pool: int = 16 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.end = np.array([] if end is None else [end], dtype=np.uint32)
+        alone = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = alone[0] if len(alone) == 1 else None
         self.shift, self.limit = np.uint64(64 - bits), pool
         self._reset()
 
@@ -138,19 +143,32 @@ class Encoder:
         self.pool[: self.used] = self.end
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Where each word's ids start in the pool, and how many there are."""
-        starts, counts = [], []
-        for i in range(0, len(words), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            total = int(n.sum())
-            while self.used + total > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-            self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-            starts.append(self.used + np.cumsum(n) - n)
-            counts.append(n)
-            self.used += total
-        return (np.concatenate(starts), np.concatenate(counts)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        """Where each word's ids start in the pool, and how many there are.
+
+        Words are encoded BUNDLE at a time as one text, with a mark between them that is a token of its own between spaces; bundles
+        in which a word holds the mark are encoded word by word.
+        """
+        bundles = [words[i : i + BUNDLE] for i in range(0, len(words), BUNDLE)]
+        odd = [self.mark is None or any(MARK in w for w in b) for b in bundles]
+        plain = [b for b, x in zip(bundles, odd, strict=True) if not x]
+        encoded = iter(self.tokenizer.encode_batch_fast([f" {MARK} ".join(b) for b in plain], add_special_tokens=False))
+        parts = []
+        for b, x in zip(bundles, odd, strict=True):
+            if x:
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(b, add_special_tokens=False)]
+                parts.append((np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))))
+            else:
+                ids = np.array(next(encoded).ids, dtype=np.uint32)
+                marks = np.flatnonzero(ids == self.mark)
+                parts.append((np.delete(ids, marks), np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1))
+        ids = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.uint32)
+        counts = np.concatenate([n for _, n in parts]) if parts else np.zeros(0, np.int64)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        starts = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        return starts, counts
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids start and one more)."""
@@ -176,6 +194,20 @@ class Encoder:
         return ids, before[texts + np.arange(len(texts))]
 
 
+class WholeEncoder:
+    """Texts to ids, text by text, for any tokenizer."""
+
+    def __init__(self, definition: str, end: int | None):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.end = Tokenizer.from_str(definition), [] if end is None else [end]
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids + self.end for e in self.tokenizer.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+
+
 def _folded(data: np.ndarray) -> np.ndarray:
     """A-Z as a-z, unless the bytes may hold a special token, or marks that compose with other letters once these are folded."""
     raw = data.tobytes()
@@ -193,11 +225,12 @@ def vocabulary(definition: str) -> int:
     return Tokenizer.from_str(definition).get_vocab_size(with_added_tokens=True)
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int | None = 2, shard_ids: int = 1 << 20) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int | None = 2, shard_ids: int = 1 << 20, by_words: bool = True) -> None:
     """Write docs(doc_id, text) in ascending doc_id order as shards of about shard_ids ids.
 
     A null text has no ids but the end id. A null doc_id comes first; rows of one doc_id are ordered by a
     hash of their text. tokenizer: path of a tokenizers file on the driver, whose content is broadcast (its size is fixed).
+    by_words: the tokenizer is lower-casing and drops white space, so that words can be encoded by themselves.
 
     One shuffle, by ranges of (doc_id, hash): the ranges are sampled from these two columns.
     """
@@ -210,7 +243,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int | None = 2
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode, ids, held, size, before, seq = Encoder(shared.value, end), [], [], 0, 0, 0
+        encode, ids, held, size, before, seq = (Encoder if by_words else WholeEncoder)(shared.value, end), [], [], 0, 0, 0
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "first_id": [ids[0]], "before": [before], "n_docs": [len(ids)], "n_ids": [size], "image": [shard_image(ids, held, vocab)]}, schema=schema)
