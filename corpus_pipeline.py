@@ -23,7 +23,7 @@ from hyperweft.llm.common import materialize, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     params = toxicity.ToxicityParams()
     model = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")), params)
-    return toxicity.score(docs, model, params).filter(F.col("toxicity") < params.threshold).select(*docs.columns)
+    return toxicity.score(docs, model, params, "__hw_toxicity").filter(F.col("__hw_toxicity") < params.threshold).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

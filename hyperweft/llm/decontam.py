@@ -217,6 +217,6 @@ def op8_decontamination(docs: DataFrame, benchmark: DataFrame, params: DecontamP
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, params: DecontamParams = DecontamParams()) -> DataFrame:
     """Rows of docs that hold no benchmark item, with the columns of docs."""
-    bad = materialize(contaminated(docs, benchmark, params).select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct(), "contaminated")
+    bad = materialize(contaminated(docs, benchmark, params).select(F.col("id").alias("__hw_id"), F.col("h").alias("__hw_h")).distinct(), "contaminated")
     bad = F.broadcast(bad) if bad.count() * 24 <= BROADCAST_BYTES else bad
-    return docs.withColumn("__id", id_key()).withColumn("__h", F.xxhash64("text")).join(bad, ["__id", "__h"], "left_anti").select(*docs.columns)
+    return docs.withColumn("__hw_id", id_key()).withColumn("__hw_h", F.xxhash64("text")).join(bad, ["__hw_id", "__hw_h"], "left_anti").select(*docs.columns)

@@ -145,7 +145,7 @@ def op1_mixing(docs: DataFrame, labels: DataFrame, params: MixParams | None = No
 
 def mixed_documents(docs: DataFrame, labelled: DataFrame, params: MixParams | None = None) -> DataFrame:
     """Rows of docs, each as often as its copies say, with the columns of docs."""
-    mixed = mix(docs, labelled, params).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("n_copies").alias("__n"))
-    keyed = docs.withColumn("__id", id_key()).withColumn("__h", F.xxhash64("text"))
-    out = keyed.join(mixed.filter("__n > 0"), ["__id", "__h"])
-    return out.withColumn("__k", F.explode(F.array_repeat(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
+    mixed = mix(docs, labelled, params).select(F.col("id").alias("__hw_id"), F.col("h").alias("__hw_h"), F.col("n_copies").alias("__hw_n"))
+    keyed = docs.withColumn("__hw_id", id_key()).withColumn("__hw_h", F.xxhash64("text"))
+    out = keyed.join(mixed.filter("__hw_n > 0"), ["__hw_id", "__hw_h"])
+    return out.withColumn("__hw_k", F.explode(F.array_repeat(F.lit(1), F.col("__hw_n").cast("int")))).select(*docs.columns)

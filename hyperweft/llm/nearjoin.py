@@ -240,7 +240,7 @@ def one_of_each(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
     the same words all stay.
     """
     found = near_duplicates(docs, params)
-    keep = materialize(found.filter(F.col("class") != NO_WORDS).groupBy("group").agg(F.min(F.struct("id", "class")).alias("k")).select(F.col("k.id").alias("__id")), "kept").distinct()
-    drop = materialize(found.filter(F.col("class") != NO_WORDS).select(F.col("id").alias("__id")).distinct().join(keep, "__id", "left_anti"), "dropped")
+    keep = materialize(found.filter(F.col("class") != NO_WORDS).groupBy("group").agg(F.min(F.struct("id", "class")).alias("k")).select(F.col("k.id").alias("__hw_id")), "kept").distinct()
+    drop = materialize(found.filter(F.col("class") != NO_WORDS).select(F.col("id").alias("__hw_id")).distinct().join(keep, "__hw_id", "left_anti"), "dropped")
     side = F.broadcast(drop) if drop.count() * 16 <= BROADCAST_BYTES else drop
-    return docs.withColumn("__id", id_key()).join(side, "__id", "left_anti").select(*docs.columns)
+    return docs.withColumn("__hw_id", id_key()).join(side, "__hw_id", "left_anti").select(*docs.columns)

@@ -186,8 +186,8 @@ def fit(docs: DataFrame, marks: DataFrame, params: ToxicityParams = ToxicityPara
     return np.frombuffer(row["weights"], dtype=np.float32), row["bias"]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], params: ToxicityParams = ToxicityParams()) -> DataFrame:
-    """Add `toxicity` (0 to 1) to docs(text, ...), over whole texts; a null or empty text gets the bias alone.
+def score(docs: DataFrame, model: tuple[np.ndarray, float], params: ToxicityParams = ToxicityParams(), name: str = "toxicity") -> DataFrame:
+    """Add a column `name` (0 to 1) to docs(text, ...), over whole texts; a null or empty text gets the bias alone.
 
     No shuffle: one pass over the rows with a fixed-size model (4 bytes per bucket).
     """
@@ -199,9 +199,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], params: ToxicityPara
         raw, bias = shared.value
         scorer = Scorer(np.frombuffer(raw, dtype=np.float32), bias, p)
         for b in slices(batches, text=at):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scorer(b.column(at).to_pylist()), pa.float64())], [*b.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scorer(b.column(at).to_pylist()), pa.float64())], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, with_fields(docs.schema, "toxicity double"))
+    return docs.mapInArrow(run, with_fields(docs.schema, f"{name} double"))
 
 
 def held_out(name: str = "doc_id"):
