@@ -124,7 +124,7 @@ class Encoder:
     the ids of up to 2**bits words, and its pool of ids starts anew at `pool` ids, which bounds the memory.
     """
 
-    def __init__(self, definition: str, end: int | None, bits: int = 21, pool: int = 16 << 20):
+    def __init__(self, definition: str, end: int | None, bits: int = 20, pool: int = 8 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -208,6 +208,18 @@ class WholeEncoder:
         return np.fromiter(chain.from_iterable(found), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
 
 
+_ENCODERS: dict[tuple, Encoder | WholeEncoder] = {}
+
+
+def encoder(definition: str, end: int | None, by_words: bool) -> Encoder | WholeEncoder:
+    """The worker's encoder, which the tasks that it runs one after the other share."""
+    key = (hash(definition), end, by_words)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = (Encoder if by_words else WholeEncoder)(definition, end)
+    return _ENCODERS[key]
+
+
 def _folded(data: np.ndarray) -> np.ndarray:
     """A-Z as a-z, unless the bytes may hold a special token, or marks that compose with other letters once these are folded."""
     raw = data.tobytes()
@@ -243,12 +255,12 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int | None = 2
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode, ids, held, size, before, seq = (Encoder if by_words else WholeEncoder)(shared.value, end), [], [], 0, 0, 0
+        encode, ids, held, size, before, seq = encoder(shared.value, end, by_words), [], [], 0, 0, 0
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "first_id": [ids[0]], "before": [before], "n_docs": [len(ids)], "n_ids": [size], "image": [shard_image(ids, held, vocab)]}, schema=schema)
 
-        for b in slices(batches, rows=2048, chars=2 << 20):
+        for b in slices(batches, rows=1024, chars=1 << 20):
             found, at = encode(b.column(1))
             for k, i in enumerate(b.column(0).to_pylist()):
                 ids.append(i)
