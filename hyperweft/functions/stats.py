@@ -42,7 +42,7 @@ def partition_agreement(labels: DataFrame, a: str, b: str) -> DataFrame:
     n, log_n = F.col("n"), F.log("n")
     ha, hb, hab = log_n - F.col("rx") / n, log_n - F.col("cx") / n, log_n - F.col("xx") / n
     mutual = ha + hb - hab
-    expected = F.col("rp") * F.col("cp") / pairs(n)
+    expected = F.coalesce(F.col("rp") * F.col("cp") / F.nullif(pairs(n), F.lit(0.0)), F.lit(0.0))
     best = (F.col("rp") + F.col("cp")) / 2
     ratio = lambda x, y: F.when(y.isNull() | (F.abs(y) < 1e-15), F.lit(1.0)).otherwise(x / y)
     one = one.select(
@@ -74,7 +74,7 @@ def finite(df: DataFrame, *columns: str) -> DataFrame:
 
 def _corr(a: str, b: str, least: int) -> Column:
     flat = (F.max(a) == F.min(a)) | (F.max(b) == F.min(b)) | (F.count("*") < least)
-    return F.when(flat, F.lit(NAN)).otherwise(F.corr(a, b))
+    return F.when(flat, F.lit(NAN)).otherwise(F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
 
 
 def correlation(df: DataFrame, a: str, b: str, by: list[str] | None = None, least: int = 3) -> DataFrame:
@@ -161,7 +161,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, by: list[str] | None = N
     n = n1 + n2
     enough = (n1 >= least) & (n2 >= least)
     u = F.col("sum1") - n1 * (n1 + 1) / 2
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    sd = F.coalesce(F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0)))), F.lit(0.0))
     z = F.when(sd > 0, (u - n1 * n2 / 2 - 0.5) / sd).otherwise(NAN)
     out = s.select(*by, "n1", "n2", F.when(enough, u).otherwise(NAN).alias("u"), F.when(enough, 2 * u / (n1 * n2) - 1).otherwise(NAN).alias("r"), F.when(enough, z).otherwise(NAN).alias("z"))
     return out.withColumn("p", F.when(F.isnan("z"), F.lit(NAN)).otherwise(normal_tail(F.col("z"))))

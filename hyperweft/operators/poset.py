@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hyperweft.operators.incidence import degrees, hyperedges
+from hyperweft.plans.storage import cut
 
 #: Larger hyperedges aren't expanded into pairs of nodes; they are found by single nodes.
 PAIR_CARD = 40
@@ -46,7 +47,8 @@ def containments(inc: DataFrame) -> DataFrame:
 
 
 def covers(contained: DataFrame) -> DataFrame:
-    """The Hasse relation: containments with nothing in between."""
+    """The Hasse relation: containments with nothing in between. They are used three times, so they are written once."""
+    contained = cut(contained, "contained")
     up = contained.select(F.col("low").alias("mid"), "high")
     via = contained.select("low", F.col("high").alias("mid")).join(up, "mid").select("low", "high").distinct()
     return contained.join(via, ["low", "high"], "left_anti")
@@ -59,6 +61,7 @@ def triangles(cover: DataFrame) -> DataFrame:
 
 def poset_edges(cover: DataFrame) -> DataFrame:
     """(u, v, tri): covers and two-step edges, with the number of triangles on each."""
+    cover = cut(cover, "covers")
     t = triangles(cover)
     sides = t.select(F.col("i").alias("u"), F.col("j").alias("v")).unionByName(t.select(F.col("j").alias("u"), F.col("k").alias("v"))).unionByName(t.select(F.col("i").alias("u"), F.col("k").alias("v")))
     counts = sides.groupBy("u", "v").agg(F.count("*").alias("tri"))
@@ -68,12 +71,18 @@ def poset_edges(cover: DataFrame) -> DataFrame:
 
 def forman_edges(edges: DataFrame) -> DataFrame:
     """(u, v, curvature) = 4 - deg u - deg v + 3 tri."""
+    edges = cut(edges, "poset")
     both = edges.select(F.col("u").alias("n")).unionByName(edges.select(F.col("v").alias("n")))
     deg = both.groupBy("n").agg(F.count("*").alias("deg"))
     out = edges.join(deg.withColumnsRenamed({"n": "u", "deg": "du"}), "u").join(deg.withColumnsRenamed({"n": "v", "deg": "dv"}), "v")
     return out.select("u", "v", (4 - F.col("du") - F.col("dv") + 3 * F.col("tri")).alias("curvature"))
 
 
+def forman_graph(inc: DataFrame) -> DataFrame:
+    """forman_edges of a hypergraph's poset, written once for those who use it more often."""
+    return cut(forman_edges(poset_edges(covers(containments(inc)))), "forman")
+
+
 def forman_nodes(curved: DataFrame) -> DataFrame:
     """(name, curvature): the sum over the incident edges of every member of the poset."""
     both = curved.select(F.col("u").alias("name"), "curvature").unionByName(curved.select(F.col("v").alias("name"), "curvature"))
@@ -82,7 +91,7 @@ def forman_nodes(curved: DataFrame) -> DataFrame:
 
 def forman_hyperedges(inc: DataFrame, curved: DataFrame | None = None) -> DataFrame:
     """(edge, curvature) of hyperedges with at least two nodes; others have no place above a vertex."""
-    curved = curved if curved is not None else forman_edges(poset_edges(covers(containments(inc))))
+    curved = curved if curved is not None else forman_graph(inc)
     cards = inc.groupBy("edge").agg(F.count("*").alias("card")).filter("card > 1")
     sums = forman_nodes(curved).filter(F.col("name").startswith("e")).select(F.expr("cast(substring(name, 2) as bigint)").alias("edge"), "curvature")
     return cards.select("edge").join(sums, "edge", "left").select("edge", F.coalesce("curvature", F.lit(0)).alias("curvature"))
@@ -90,7 +99,7 @@ def forman_hyperedges(inc: DataFrame, curved: DataFrame | None = None) -> DataFr
 
 def forman_vertices(inc: DataFrame, curved: DataFrame | None = None) -> DataFrame:
     """(node, curvature): the sum of the curvatures of a vertex's neighbours in the poset graph (two-step ones too)."""
-    curved = curved if curved is not None else forman_edges(poset_edges(covers(containments(inc))))
+    curved = curved if curved is not None else forman_graph(inc)
     sums = forman_nodes(curved)
     near = curved.filter(F.col("u").startswith("v")).select("u", F.col("v").alias("name")).join(sums, "name")
     out = near.groupBy("u").agg(F.sum("curvature").alias("curvature"))
@@ -101,7 +110,7 @@ def forman_vertices(inc: DataFrame, curved: DataFrame | None = None) -> DataFram
 def without_members(edges: DataFrame, tri: DataFrame, removed: DataFrame) -> DataFrame:
     """poset_edges after members removed(name) and all triangles on them are gone; tri: triangles()."""
     gone = removed.select("name").distinct()
-    left = tri
+    left = tri = cut(tri, "triangles")
     for c in "ijk":
         left = left.join(gone.withColumnRenamed("name", c), c, "left_anti")
     sides = left.select(F.col("i").alias("u"), F.col("j").alias("v")).unionByName(left.select(F.col("j").alias("u"), F.col("k").alias("v"))).unionByName(left.select(F.col("i").alias("u"), F.col("k").alias("v")))
@@ -127,7 +136,7 @@ def forman_vertices_keeping(inc: DataFrame, n: int) -> DataFrame:
     """Vertices outside 1 to n are left out of the poset; hyperedges keep them as members."""
     contained = containments(inc)
     inside = contained.filter(~F.col("low").startswith("v") | F.expr("cast(substring(low, 2) as bigint)").between(1, n))
-    return forman_vertices(positional(inc, n), forman_edges(poset_edges(covers(inside))))
+    return forman_vertices(positional(inc, n), cut(forman_edges(poset_edges(covers(inside))), "forman"))
 
 
 def edges_with_keys(inc: DataFrame) -> DataFrame:

@@ -182,22 +182,22 @@ def _(s, d):
 
 @query("poset_covers", "SELECT low, high FROM covers", "supply", COVERS)
 def _(s, d):
-    return poset.covers(cut(poset.containments(view(s, d, "supply"))))
+    return poset.covers(poset.containments(view(s, d, "supply")))
 
 
 @query("poset_triangles", "SELECT i, j, k FROM tri", "supply", COVERS)
 def _(s, d):
-    return poset.triangles(cut(poset.covers(cut(poset.containments(view(s, d, "supply"))))))
+    return poset.triangles(cut(poset.covers(poset.containments(view(s, d, "supply")))))
 
 
 @query("poset_edges", "SELECT u, v, tri FROM pt", "supply", COVERS)
 def _(s, d):
-    return poset.poset_edges(cut(poset.covers(cut(poset.containments(view(s, d, "supply"))))))
+    return poset.poset_edges(poset.covers(poset.containments(view(s, d, "supply"))))
 
 
 def _forman(s, d, name="supply") -> tuple[DataFrame, DataFrame]:
     inc = view(s, d, name)
-    return inc, poset.forman_edges(cut(poset.poset_edges(cut(poset.covers(cut(poset.containments(inc)))))))
+    return inc, poset.forman_graph(inc)
 
 
 @query("forman_edge", "SELECT u, v, CAST(f AS BIGINT) AS curvature FROM fe", "supply", FORMAN)
@@ -213,7 +213,7 @@ def _(s, d):
 @query("forman_vertex", "SELECT node, CAST(coalesce(sum(fn.f), 0) AS BIGINT) AS curvature FROM (SELECT DISTINCT node FROM inc) LEFT JOIN fe ON u = 'v' || node LEFT JOIN fn ON v = n GROUP BY node", "supply", FORMAN)
 def _(s, d):
     inc, curved = _forman(s, d)
-    return poset.forman_vertices(inc, cut(curved))
+    return poset.forman_vertices(inc, curved)
 
 
 @query(
@@ -227,7 +227,7 @@ SELECT pt.u, pt.v, coalesce(ls.tri, 0) AS tri FROM pt LEFT JOIN ls ON pt.u = ls.
 )
 def _(s, d):
     inc = view(s, d, "supply")
-    cover = cut(poset.covers(cut(poset.containments(inc))))
+    cover = cut(poset.covers(poset.containments(inc)))
     gone = incidence.with_card(inc, 6).select(F.concat(F.lit("e"), "edge").alias("name"))
     return poset.without_members(poset.poset_edges(cover), poset.triangles(cover), gone)
 
