@@ -87,6 +87,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, hot: int = 500, row_bytes: int = 64) -> DataFrame:
+    """Inner join with right, a written table of one row a key whose column `weight` counts the rows that left has of it.
+
+    Keys of more than `hot` rows are joined where left's rows are, by a broadcast, so that no task gathers them. There are few
+    of them: the bound on `hot` rises until they fit the broadcast limit. All other keys are shuffled.
+    """
+    while (n := right.filter(F.col(weight) > hot).count()) * row_bytes > BROADCAST_BYTES:
+        hot *= 4
+    if not n:
+        return left.join(right, on)
+    heavy = right.filter(F.col(weight) > hot)
+    rest = left.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(right.filter(F.col(weight) <= hot), on)
+    return left.join(F.broadcast(heavy), on).unionByName(rest)
+
+
 #: Bytes that end a word: white space, and all ASCII but letters, digits and _.
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, *range(9, 14)]] = True

@@ -15,7 +15,8 @@ smaller doc_id; every word that a repeated window covers is removed.
 4. Candidates are verified globally by 96-bit names of their 50 words, and give the smallest doc_id of each.
 
 Null texts have no words. A null doc_id is smaller than any other. Rows that repeat a doc_id are judged row by row
-and never against each other. Groupings combine before their shuffles; joins of hot symbols or windows are split by AQE.
+and never against each other. Groupings combine before their shuffles; windows of many rows are
+joined by a bounded broadcast, and other joins are split by AQE.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperweft.llm.common import BROADCAST_BYTES, SPACES, _powers, hashed_words, id_back, id_key, materialize, mix, sequence_names, slices, text_bytes
+from hyperweft.llm.common import BROADCAST_BYTES, SPACES, _powers, hashed_words, id_back, id_key, join_hot, materialize, mix, sequence_names, slices, text_bytes
 from hyperweft.llm.exactdedup import BUCKET_ROWS, BinaryFuse8
 
 
@@ -257,8 +258,8 @@ def removals(docs: DataFrame, params: SubstringParams = SubstringParams()) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), b.column(0).take(rows), b.column(1).take(rows), pa.array((at - texts[owner]).astype(np.int32))], ["w1", "w2", "id", "h", "at"])
 
     found = materialize(given.mapInArrow(windows, "w1 long, w2 int, id long, h long, at int"), "windows")
-    least = found.groupBy("w1", "w2").agg(F.min("id").alias("m"), F.max("id").alias("x")).filter("m < x").select("w1", "w2", "m")
-    covered = found.join(least, ["w1", "w2"]).filter("id > m").select("id", "h", "at")
+    least = found.groupBy("w1", "w2").agg(F.min("id").alias("m"), F.max("id").alias("x"), F.count("*").alias("n")).filter("m < x").select("w1", "w2", "m", "n")
+    covered = join_hot(found, materialize(least, "least"), ["w1", "w2"], "n").filter("id > m").select("id", "h", "at")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
