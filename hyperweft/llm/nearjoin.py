@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperweft.llm.common import BROADCAST_BYTES, FOLD, SPACES, hashed_words, id_back, id_key, materialize, mix, sequence_names, shingles, slices, text_bytes
+from hyperweft.llm.common import BROADCAST_BYTES, FOLD, SPACES, hashed_words, id_back, id_key, join_hot, materialize, mix, sequence_names, shingles, slices, text_bytes
 from hyperweft.llm.components import components
 
 BLOCK = 400
@@ -227,9 +227,10 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
 def op3_ngram_join(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the group), copy_of (the smallest doc_id with the same words), n_links."""
     found = materialize(near_duplicates(docs, params), "near")
-    least = found.groupBy("group").agg(F.min("id").alias("class_id"))
-    first = found.groupBy("class").agg(F.min("id").alias("copy_of"))
-    out = found.join(first, "class").join(least, "group")
+    classes = materialize(found.groupBy("class", "group").agg(F.min("id").alias("copy_of"), F.first("n_links").alias("n_links"), F.count("*").alias("n_rows")), "classes")
+    groups = materialize(classes.groupBy("group").agg(F.min("copy_of").alias("class_id"), F.count("*").alias("n_classes")), "groups")
+    named = materialize(join_hot(classes, groups, ["group"], "n_classes"), "named")
+    out = join_hot(found.select("id", "class"), named, ["class"], "n_rows")
     return out.select(id_back(F.col("id")).alias("doc_id"), id_back(F.col("class_id")).alias("class_id"), id_back(F.col("copy_of")).alias("copy_of"), "n_links")
 
 
