@@ -238,3 +238,21 @@ def removal_curve(order: DataFrame, between: DataFrame, steps: int | None = None
         j = j.filter(F.col("step") <= steps)
     run = running_sum(j, [F.col("step")], F.col("__b"), "removed_between").join(F.broadcast(total))
     return run.select("step", "edge", F.col("removed_between").cast("long").alias("removed_between"), (F.col("removed_between") / F.col("step")).alias("precision"), F.when(F.col("__all") > 0, F.col("removed_between") / F.col("__all")).otherwise(0.0).alias("recall"))
+
+
+def compare_removals(orders: dict[str, DataFrame], between: DataFrame, steps: int | None = None) -> DataFrame:
+    """removal_curve() of several removal orders, with their names in `source`."""
+    out = None
+    for name, order in orders.items():
+        part = removal_curve(order, between, steps).withColumn("source", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def sweep(curvature, inc: DataFrame, settings: dict[str, dict]) -> DataFrame:
+    """(setting, ...) of curvature(inc, **options) for each of several named options: for comparisons of solvers and regularisations."""
+    out = None
+    for name, options in settings.items():
+        part = curvature(inc, **options).withColumn("setting", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out

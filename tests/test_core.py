@@ -383,3 +383,13 @@ def test_order_statistics(spark):
     ranks = {r["k"]: r["rk"] for r in mean_ranks(df, "v", "rk").collect()}
     vs = [v for _, v in rows]
     assert all(ranks[k] == sum(x < v for x in vs) + (vs.count(v) + 1) / 2 for k, v in rows)
+
+
+def test_comparisons(spark):
+    between = spark.createDataFrame([(0, True), (1, False), (2, True)], "edge long, is_between boolean")
+    orders = {"a": spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "step long, edge long"), "b": spark.createDataFrame([(1, 1), (2, 0), (3, 2)], "step long, edge long")}
+    rows = {(r["source"], r["step"]): (r["precision"], r["recall"]) for r in stats.compare_removals(orders, between, 2).collect()}
+    assert rows == {("a", 1): (1.0, 0.5), ("a", 2): (0.5, 0.5), ("b", 1): (0.0, 0.0), ("b", 2): (0.5, 0.5)}
+    inc = inc_of(spark, STAR)
+    swept = stats.sweep(transport.mmot_curvature, inc, {str(r): {"params": transport.TransportParams(reg=r)} for r in (0.05, 0.1)})
+    assert swept.count() == 18 and swept.filter("gap < 0").count() == 0
