@@ -208,8 +208,8 @@ def removals(docs: DataFrame, params: SubstringParams = SubstringParams()) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sequence_names(h, texts)), pa.array(sequence_names(mix(h), texts)), pa.array(np.diff(texts))], ["id", "h", "root", "root2", "n"]).filter(long)
 
     named = materialize(keyed.mapInArrow(roots, "id long, h long, root long, root2 long, n long"), "roots")
-    first = named.groupBy("root", "root2").agg(F.min("id").alias("m"), F.max("id").alias("x")).filter("m < x").select("root", "root2", "m")
-    whole = materialize(named.join(first, ["root", "root2"]).filter("id > m").select("id", "h", "n").distinct(), "wholes")
+    first = named.groupBy("root", "root2").agg(F.min("id").alias("m"), F.max("id").alias("x"), F.count("*").alias("copies")).filter("m < x").select("root", "root2", "m", "copies")
+    whole = materialize(join_hot(named, materialize(first, "copies"), ["root", "root2"], "copies").filter("id > m").select("id", "h", "n").distinct(), "wholes")
     short_or_copy = _small(whole.select("id", "h"), 32)
     reps = keyed.join(short_or_copy, ["id", "h"], "left_anti").select("id", "h", "text")
 
