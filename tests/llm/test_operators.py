@@ -268,6 +268,31 @@ def test_more_items_than_at_once(spark, docs, rows):
     assert {tuple(r) for r in decontam.op8_decontamination(docs, bench, decontam.DecontamParams(items_at_once=2)).collect()} == whole
 
 
+@pytest.mark.parametrize("n", [6, 30, 100])
+@pytest.mark.parametrize("kind", ["head", "cut", "block", "tail"])
+def test_items_are_found_wherever_the_edits_are(n, kind):
+    rng = random.Random(n)
+    fresh = lambda k, c: [f"{c}{rng.randrange(10**6)}" for _ in range(k)]
+    most, texts = int(0.2 * n + 1e-9), []
+    items = [(k, fresh(n, "w")) for k in range(60)]
+    for _, x in items:
+        a = {"head": 0, "cut": 0, "block": rng.randrange(n - most + 1), "tail": n - most}[kind]
+        texts.append(" ".join(fresh(rng.randrange(40), "a") + x[:a] + fresh(most if kind != "cut" else 0, "x") + x[a + most :] + fresh(30, "b")))
+    found = decontam.Index([(k, " ".join(x)) for k, x in items], decontam.DecontamParams()).search(pa.array(["", *texts, ""]))
+    assert all(doc == i + 1 for doc, i, *_ in found)
+    assert len(found) >= 0.98 * len(items)
+
+
+def test_hits_looked_at_in_parts(monkeypatch):
+    texts = pa.array(["ha " * 300, "x " + "ha " * 40 + "y", "no", None])
+    index = decontam.Index([(1, "ha " * 40), (2, "x " + "ha " * 20)], decontam.DecontamParams())
+    whole = index.search(texts)
+    assert [(d, i, e) for d, i, _, e, _ in whole] == [(0, 1, 0), (0, 2, 1), (1, 1, 0), (1, 2, 0)]
+    monkeypatch.setattr(decontam, "HITS", 100)
+    assert index.search(texts) == whole
+    assert index.search(pa.array(["nothing of it"])) == []
+
+
 # --- token ids ----------------------------------------------------------------------------------------------------
 
 
