@@ -238,7 +238,8 @@ def removals(docs: DataFrame, params: SubstringParams = SubstringParams()) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(s.name.view(np.int64)), b.column(0).take(owner), b.column(1).take(owner)], ["sym", "id", "h"])
 
         lists = reps.mapInArrow(placed, "sym long, id long, h long").join(shared, "sym").groupBy("id", "h").agg(F.collect_set("sym").alias("syms"))
-        given = reps.join(lists, ["id", "h"])
+        # a text without a shared symbol has candidates too: windows that hold no kept symbol's context
+        given = reps.join(lists, ["id", "h"], "left")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if filters is None else [BinaryFuse8.from_bytes(x) if x else None for x in filters.value]

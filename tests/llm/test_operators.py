@@ -203,6 +203,16 @@ def test_substring_dedup_without_broadcast(docs, rows, monkeypatch):
     assert Counter(map(tuple, substring.op7_substring_dedup(docs).collect())) == plain_substring(rows)
 
 
+@pytest.mark.parametrize("limit", [0, 64 << 20])
+def test_runs_without_kept_symbols(spark, monkeypatch, limit):
+    monkeypatch.setattr(substring, "BROADCAST_BYTES", limit)
+    texts = [(1, "ha " * 80), (2, "ha " * 120), (3, "other words"), (4, "tic tac " * 50), (5, "x " + "tic tac " * 60)]
+    passage = " ".join(f"w{k}" for k in range(90))  # gives shared symbols, so that the limit of 0 is passed
+    texts += [(6, passage), (7, "y " + passage)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert Counter(map(tuple, substring.op7_substring_dedup(docs).collect())) == plain_substring(texts)
+
+
 def test_no_repeated_window_is_missed():
     rng = random.Random(5)
     for _ in range(60):
