@@ -213,6 +213,20 @@ def test_static_clustering(spark):
     assert clustering.partition_modularity(inc, clusters).first()["q"] == pytest.approx(q)
 
 
+def test_no_component_is_left_unattached(spark, monkeypatch):
+    # a bound on the parts that are looked at gave all others cluster 0
+    monkeypatch.setattr(clustering, "DRIVER_PARTS", 3, raising=False)
+    inc = inc_of(spark, two_groups())
+    parts = spark.createDataFrame([(n, n // 12 * 12 if n % 12 < 8 else n) for n in range(24)], "node long, part long")
+    clusters, q = clustering.finish(inc, parts, clustering.ClusterParams())
+    score = clustering.BlockScores(inc, parts)
+    sizes = {n if n % 12 >= 8 else n // 12 * 12: 1 if n % 12 >= 8 else 8 for n in range(24)}
+    merged, best = clustering.optimal_attach(clustering.greedy_attach(sizes, score, 4), score, 2)
+    labels = as_dict(clusters, "node", "cluster")
+    assert all(labels[x] == k for k, b in enumerate(sorted(merged, key=min)) for x in b) and q == pytest.approx(best)
+    assert clustering.partition_modularity(inc, clusters).first()["q"] == pytest.approx(q)
+
+
 def test_dynamic_clustering(spark):
     edges = [[0, 1, 2], [1, 2, 3], [0, 3], [3, 4], [4, 5, 6], [5, 6, 7], [4, 7]]
     inc = inc_of(spark, edges)
