@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperweft.plans.storage import cut
+from hyperweft.plans.storage import cut, join_hot
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -47,26 +47,35 @@ def ring(edges: DataFrame, pairs: DataFrame, inner: int, outer: int) -> DataFram
     return both.groupBy("a", "b", "node").agg(F.min("d").alias("d")).filter(F.col("d") > inner).select("a", "b", "node")
 
 
+def _least(pairs: DataFrame, key: str, other: str) -> DataFrame:
+    """(key, m, n): the smallest `other` of each key, and how many there are, written once."""
+    return cut(pairs.groupBy(key).agg(F.min(other).alias("m"), F.count("*").alias("n")), "least")
+
+
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether every node of pairs(low, high) is either the centre of a star or has one smaller neighbour and no other."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("high").alias("x"), F.lit(1).alias("up")), F.struct(F.col("low").alias("x"), F.lit(0).alias("up")))).alias("e"))
+    counts = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.count("*").alias("n"))
+    return counts.filter("up > 0 and n > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of edges(u, v): root is the smallest node of the component.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014), whose number grows with the logarithm of the
-    nodes. Smallest neighbours are aggregates that combine before the shuffle.
+    nodes, until only stars are left. Smallest neighbours are aggregates that combine before the shuffle, and hubs get theirs by a
+    bounded broadcast, so that no task gathers a hub's edges.
     """
     pairs = cut(edges.select(F.least("u", "v").alias("low"), F.greatest("u", "v").alias("high")).filter("low <> high").distinct(), "edges")
-    before = None
-    while True:
-        both = pairs.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(pairs.select(F.col("high").alias("u"), F.col("low").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("low"), F.col("v").alias("high")).filter("low <> high").distinct()
-        least = large.groupBy("high").agg(F.min("low").alias("m"))
-        joined = large.join(least, "high")
-        star = joined.select(F.col("m").alias("low"), F.col("low").alias("high")).unionByName(joined.select(F.col("m").alias("low"), "high"))
+    while not _are_stars(pairs):
+        # large star: every larger neighbour of a node meets the smallest of the node and its neighbours
+        both = pairs.select(F.explode(F.array(F.struct(F.col("low").alias("u"), F.col("high").alias("v")), F.struct(F.col("high").alias("u"), F.col("low").alias("v")))).alias("e")).select("e.*")
+        large = join_hot(both.filter("v > u"), _least(both, "u", "v"), ["u"], "n").select(F.least("u", "m").alias("low"), F.col("v").alias("high"))
+        large = cut(large.filter("low <> high").distinct(), "edges")
+        # small star: every smaller neighbour of a node, and the node, meet the smallest of them
+        joined = join_hot(large, _least(large, "high", "low"), ["high"], "n")
+        star = joined.select(F.col("m").alias("low"), F.explode(F.array("low", "high")).alias("high"))
         pairs = cut(star.filter("low <> high").distinct(), "edges")
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     return pairs.select(F.col("high").alias("node"), F.col("low").alias("root")).unionByName(pairs.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct())
 
 

@@ -13,20 +13,47 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a folder of this process."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a folder of this process, which only a local session can use."""
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_hyperweft_dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="hyperweft-")
-        spark._hyperweft_dir = base
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark._hyperweft_dir = tempfile.mkdtemp(prefix="hyperweft-")
     return base.rstrip("/")
 
 
+def new_path(spark, tag: str) -> str:
+    """A new path for a table of this application."""
+    return f"{shared_dir(spark)}/hyperweft/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def discard(spark) -> None:
+    """Delete all intermediate tables of this application; results that read them must have been written before."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/hyperweft/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hyperweft/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, hot: int = 500, row_bytes: int = 64) -> DataFrame:
+    """Inner join with right, a written table of one row a key whose column `weight` counts the rows that left has of it.
+
+    Keys of more than `hot` rows are joined where left's rows are, by a broadcast, so that no task gathers them. There are few
+    of them: the bound on `hot` rises until they fit the broadcast limit. All other keys are shuffled.
+    """
+    while (n := right.filter(F.col(weight) > hot).count()) * row_bytes > BROADCAST_BYTES:
+        hot *= 4
+    if not n:
+        return left.join(right, on)
+    heavy = right.filter(F.col(weight) > hot)
+    rest = left.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(right.filter(F.col(weight) <= hot), on)
+    return left.join(F.broadcast(heavy), on).unionByName(rest)
 
 
 def _dealt(df: DataFrame, order: list[Column]) -> DataFrame:
