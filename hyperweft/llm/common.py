@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,28 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from hyperweft.plans.storage import BROADCAST_BYTES, cut, join_hot, new_path  # noqa: F401
+
 #: A null doc_id is carried under this key inside the operators, and is null again in their results.
 NULL_ID = -(2**63)
-#: Tables of at most this many bytes may be broadcast.
-BROADCAST_BYTES = 64 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a folder of this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_hyperweft_dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="hyperweft-")
-        spark._hyperweft_dir = base
-    return base.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str, partitions: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hyperweft/{tag}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, tag)
 
 
 def with_fields(schema: StructType, ddl: str) -> StructType:
@@ -87,21 +73,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, hot: int = 500, row_bytes: int = 64) -> DataFrame:
-    """Inner join with right, a written table of one row a key whose column `weight` counts the rows that left has of it.
-
-    Keys of more than `hot` rows are joined where left's rows are, by a broadcast, so that no task gathers them. There are few
-    of them: the bound on `hot` rises until they fit the broadcast limit. All other keys are shuffled.
-    """
-    while (n := right.filter(F.col(weight) > hot).count()) * row_bytes > BROADCAST_BYTES:
-        hot *= 4
-    if not n:
-        return left.join(right, on)
-    heavy = right.filter(F.col(weight) > hot)
-    rest = left.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(right.filter(F.col(weight) <= hot), on)
-    return left.join(F.broadcast(heavy), on).unionByName(rest)
-
-
 #: Bytes that end a word: white space, and all ASCII but letters, digits and _.
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, *range(9, 14)]] = True
@@ -109,21 +80,10 @@ MARKS = np.array([c < 128 and not (chr(c).isalnum() or c == 95) for c in range(2
 #: Lower case for A-Z alone.
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
-_POWERS: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _BASE and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for k, base in enumerate((_BASE, inverse)):
-            out = np.full(size, base, dtype=np.uint64)
-            out[0] = 1
-            _POWERS[k] = np.multiply.accumulate(out)
-    return _POWERS[0][:n], _POWERS[1][:n]
+#: Random values of each byte at each of the first places of a word, for two independent hashes.
+PLACES = 32
+_TABLES = np.random.default_rng(20240229).integers(0, 2**64, (2, PLACES * 256), dtype=np.uint64)
+_KEYS = np.random.default_rng(20240301).integers(0, 2**64, 2, dtype=np.uint64)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,17 +95,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit hash, first byte, end byte) of every word, and the place of each text's first word (one more at the end).
+def word_spans(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end byte) of every word, and the place of each text's first word (one more at the end).
 
     alone: bytes that are words of their own after an ASCII letter, at the end of a word.
-
-    A hash is a polynomial of the word's bytes modulo 2**64 over random byte values, scrambled: equal words have
-    equal hashes wherever they stand, and no string is made.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     inside = ~ends_word[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -160,32 +117,78 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray, a
         tails = tails[(tails > 0) & (before >= 97) & (before <= 122) & ~first[tails]]
         first[tails], last[tails - 1] = True, True
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _powers(n)
-    value = _BYTES[data] * power
+    return start, end, np.searchsorted(start, offsets, "left")
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of every word; two families are independent.
+
+    A hash is the scrambled sum of one random value for each byte and its place in the word, so that strings of any
+    structure collide by chance alone, and no string is made.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    place = np.zeros(len(data), dtype=np.int64)
+    place[start] = start
+    place = np.arange(len(data)) - np.maximum.accumulate(place)
+    value = _TABLES[family][(np.minimum(place, PLACES - 1) << 8) | data]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        value[far] = mix(mix(place[far].astype(np.uint64) + _KEYS[family]) + data[far])
     total = np.cumsum(value)
-    h = mix((total[end - 1] - total[start] + value[start]) * inverse[start])
-    return h, start, end, np.searchsorted(start, offsets, "left")
+    return mix(total[end - 1] - total[start] + value[start])
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word, and the place of each text's first word (one more at the end)."""
+    start, end, texts = word_spans(data, offsets, ends_word)
+    return word_hashes(data, start, end), texts
+
 
+def text_names(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits (two integers) of a cryptographic digest that name each text's sequence of words (parted by ASCII white space)."""
+    raw = b"".join(hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts)
+    both = np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
-def sequence_names(h: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each text's sequence of word hashes; texts: the place of each one's first word, and the end."""
-    power, inverse = _powers(len(h) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)])])
-    return mix((total[texts[1:]] - total[texts[:-1]]) * inverse[texts[:-1]] + np.diff(texts).astype(np.uint64)).view(np.int64)
+
+def window_names(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """64 bits that name the `width` words from each of at, out of the words' hashes h.
+
+    Names of 1, 2, 4, ... words are made of the two halves' names; a window is a row of these.
+    """
+    out, size, used, level = np.zeros(len(at), np.uint64), 1, 0, h
+    while True:
+        if width & size:
+            out = mix((out + _KEYS[0]) * np.uint64(0x9E3779B97F4A7C15) + level[at + used])
+            used += size
+        size *= 2
+        if size > width or len(level) <= size // 2:
+            return mix(out)
+        half = size // 2
+        level = mix(mix(level[: len(level) - half] + _KEYS[1]) + level[half:])
 
 
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
-def shingles(h: np.ndarray, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of `width` consecutive words; a shorter text is one shingle, no words give none."""
-    if not len(h):
-        return h
-    w = min(width, len(h))
-    out = h[: len(h) - w + 1].copy()
-    for j in range(1, w):
-        out = mix(out) + h[j : len(h) - w + 1 + j]
-    return np.unique(mix(out))
+def shingles(h: np.ndarray, texts: np.ndarray, width: int = 5) -> list[np.ndarray]:
+    """Of each text (texts: the place of each one's first word, and the end) the sorted distinct hashes of `width` consecutive words; a
+    shorter text is one shingle, no words give none."""
+
+    def rows(words: np.ndarray) -> np.ndarray:
+        """Hashes of rows of words."""
+        out = words[0].copy()
+        for x in words[1:]:
+            out = mix(out) + x
+        return mix(out)
+
+    n = max(0, len(h) - width + 1)
+    every = rows(np.stack([h[j : j + n] for j in range(width)]))
+    out = []
+    for a, b in zip(texts[:-1].tolist(), texts[1:].tolist(), strict=True):
+        out.append(np.unique(every[a : b - width + 1]) if b - a >= width else rows(h[a:b][:, None]) if b > a else h[:0])
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -66,8 +66,7 @@ def edit_distance(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and the place of each text's first word (one more at the end)."""
     data, offsets = text_bytes(column)
-    h, _, _, texts = hashed_words(FOLD[data], offsets, MARKS)
-    return h, texts
+    return hashed_words(FOLD[data], offsets, MARKS)
 
 
 class Index:

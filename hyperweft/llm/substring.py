@@ -3,16 +3,17 @@
 A window is 50 consecutive words of one document. A window is repeated if its words also start in a document with a
 smaller doc_id; every word that a repeated window covers is removed.
 
-1. Documents with equal word sequences are found by the name of the whole sequence; all but those with the smallest
-   doc_id are covered as wholes, and take no part in the rest.
-2. Recompression: rounds over all documents name runs of one symbol, and pairs of neighbours. A symbol's name is a hash
-   of its parts, so all executors give equal parts equal names without exchanging them. In each round a bit of every
+1. Documents with equal word sequences are found by a cryptographic name of 128 bits of the whole sequence; all but those
+   with the smallest doc_id are covered as wholes, and take no part in the rest.
+2. Recompression: rounds, made in the task that holds a document, name runs of one symbol, and pairs of neighbours. A symbol's
+   name is a hash of its parts, so all executors give equal parts equal names without exchanging them. In each round a bit of every
    symbol makes it a left or a right one, and each left one joins a following right one (up to `longest` words).
    With every symbol goes its context: the span of words that alone decides that it arises. A window that holds
    a symbol's context holds the symbol, wherever else the window occurs.
 3. High-level symbols that occur in at least two documents are shared. A window that holds the context of a symbol that
    isn't shared can't be repeated. All other windows are candidates: none is lost.
-4. Candidates are verified globally by 96-bit names of their 50 words, and give the smallest doc_id of each.
+4. Candidates are verified globally by 128-bit names of their 50 words, made of two independent hashes of every word, and
+   give the smallest doc_id of each. At 1e13 windows a chance collision has a probability of about 1e-13.
 
 Null texts have no words. A null doc_id is smaller than any other. Rows that repeat a doc_id are judged row by row
 and never against each other. Groupings combine before their shuffles; windows of many rows are
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperweft.llm.common import BROADCAST_BYTES, SPACES, _powers, hashed_words, id_back, id_key, join_hot, materialize, mix, sequence_names, slices, text_bytes
+from hyperweft.llm.common import BROADCAST_BYTES, SPACES, hashed_words, id_back, id_key, join_hot, materialize, mix, slices, text_bytes, text_names, window_names, word_hashes, word_spans
 from hyperweft.llm.exactdedup import BUCKET_ROWS, BinaryFuse8
 
 
@@ -147,20 +148,9 @@ def candidates(s: Symbols, shared: np.ndarray, texts: np.ndarray, n: int, p: Sub
     return np.flatnonzero(open_ & (np.arange(n) + w <= ends))
 
 
-def window_names(h: np.ndarray, at: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 more bits that name the w words from each of at."""
-    power, inverse = _powers(len(h) + 1)
-    out = []
-    for x in (h, mix(h ^ np.uint64(0x5851F42D4C957F2D))):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[: len(x)])])
-        out.append(mix((total[at + w] - total[at]) * inverse[at]))
-    return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
 def _hashed(b: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_bytes(b.column(column))
-    h, _, _, texts = hashed_words(data, offsets, SPACES)
-    return h, texts
+    return hashed_words(data, offsets, SPACES)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -203,9 +193,10 @@ def removals(docs: DataFrame, params: SubstringParams = SubstringParams()) -> Da
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text=2):
-            h, texts = _hashed(b, 2)
-            long = pa.array(np.diff(texts) >= p.window)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sequence_names(h, texts)), pa.array(sequence_names(mix(h), texts)), pa.array(np.diff(texts))], ["id", "h", "root", "root2", "n"]).filter(long)
+            raw = [x or b"" for x in b.column(2).cast(pa.binary()).to_pylist()]
+            n = np.array([len(x.split()) for x in raw], dtype=np.int64)
+            names = text_names(raw)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[0]), pa.array(names[1]), pa.array(n)], ["id", "h", "root", "root2", "n"]).filter(pa.array(n >= p.window))
 
     named = materialize(keyed.mapInArrow(roots, "id long, h long, root long, root2 long, n long"), "roots")
     first = named.groupBy("root", "root2").agg(F.min("id").alias("m"), F.max("id").alias("x"), F.count("*").alias("copies")).filter("m < x").select("root", "root2", "m", "copies")
@@ -221,7 +212,7 @@ def removals(docs: DataFrame, params: SubstringParams = SubstringParams()) -> Da
             long = (np.diff(texts) >= p.window)[owner]
             yield pa.RecordBatch.from_arrays([pa.array(s.name[long].view(np.int64)), b.column(0).take(pa.array(owner[long]))], ["sym", "id"])
 
-    shared = reps.mapInArrow(symbols, "sym long, id long").groupBy("sym").agg(F.min("id").alias("m"), F.max("id").alias("x")).filter("m < x").select("sym")
+    shared = reps.mapInArrow(symbols, "sym long, id long").groupBy("sym").agg(F.min("id").alias("m"), F.max("id").alias("x"), F.count("*").alias("n")).filter("m < x").select("sym", "n")
     shared = materialize(shared, "shared")
     count = shared.count()
     if count * 9 // 8 <= BROADCAST_BYTES:
@@ -237,14 +228,16 @@ def removals(docs: DataFrame, params: SubstringParams = SubstringParams()) -> Da
                 owner = pa.array(np.searchsorted(texts, s.start, "right") - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(s.name.view(np.int64)), b.column(0).take(owner), b.column(1).take(owner)], ["sym", "id", "h"])
 
-        lists = reps.mapInArrow(placed, "sym long, id long, h long").join(shared, "sym").groupBy("id", "h").agg(F.collect_set("sym").alias("syms"))
+        lists = join_hot(reps.mapInArrow(placed, "sym long, id long, h long"), shared, ["sym"], "n").groupBy("id", "h").agg(F.collect_set("sym").alias("syms"))
         # a text without a shared symbol has candidates too: windows that hold no kept symbol's context
         given = reps.join(lists, ["id", "h"], "left")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if filters is None else [BinaryFuse8.from_bytes(x) if x else None for x in filters.value]
         for b in slices(batches, text=2):
-            h, texts = _hashed(b, 2)
+            data, offsets = text_bytes(b.column(2))
+            first, last, texts = word_spans(data, offsets, SPACES)
+            h = word_hashes(data, first, last)
             s = recompress(h, texts, p)
             if known is not None:
                 hit = in_fuse_set(known, s.name)
@@ -253,12 +246,12 @@ def removals(docs: DataFrame, params: SubstringParams = SubstringParams()) -> Da
                 sets = [frozenset(x or ()) for x in b.column(3).to_pylist()]
                 hit = np.array([int(v) in sets[o] for v, o in zip(s.name.view(np.int64), owner, strict=True)], dtype=bool)
             at = candidates(s, hit, texts, len(h), p)
-            w1, w2 = window_names(h, at, p.window)
+            w1, w2 = (window_names(x, at, p.window).view(np.int64) for x in (h, word_hashes(data, first, last, 1)))
             owner = np.searchsorted(texts, at, "right") - 1
             rows = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), b.column(0).take(rows), b.column(1).take(rows), pa.array((at - texts[owner]).astype(np.int32))], ["w1", "w2", "id", "h", "at"])
 
-    found = materialize(given.mapInArrow(windows, "w1 long, w2 int, id long, h long, at int"), "windows")
+    found = materialize(given.mapInArrow(windows, "w1 long, w2 long, id long, h long, at int"), "windows")
     least = found.groupBy("w1", "w2").agg(F.min("id").alias("m"), F.max("id").alias("x"), F.count("*").alias("n")).filter("m < x").select("w1", "w2", "m", "n")
     covered = join_hot(found, materialize(least, "least"), ["w1", "w2"], "n").filter("id > m").select("id", "h", "at")
 

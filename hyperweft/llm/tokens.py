@@ -16,7 +16,6 @@ image: any range of ids is unpacked from its own blocks alone, by numpy.
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperweft.llm.common import SPACES, hashed_words, id_back, id_key, shared_dir, slices, text_bytes
+from hyperweft.llm.common import SPACES, id_back, id_key, new_path, slices, text_bytes, word_hashes, word_spans
 
 HEAD = np.dtype([("magic", "S4"), ("version", "<u2"), ("width", "<u2"), ("vocab", "<u4"), ("block", "<u4"), ("docs", "<u8"), ("ids", "<u8"), ("blocks", "<u8")])
 BLOCK = 4096
@@ -120,8 +119,9 @@ class Encoder:
 
     The tokenizer drops white space, never joins across it, and lower-cases. So texts are cut at white space (and
     before a comma or full stop that ends a word), and A-Z are folded where that can't change what the tokenizer
-    composes or takes for a special token. Words are told apart by 64-bit hashes; a direct-mapped table remembers
-    the ids of up to 2**bits words, and its pool of ids starts anew at `pool` ids, which bounds the memory.
+    composes or takes for a special token. A direct-mapped table of 64-bit hashes remembers the ids and the bytes of up to
+    2**bits words; pools of ids and bytes start anew at `pool` of them, which bounds the memory. The bytes of every word are
+    compared with those of the word whose ids it gets: hashes choose what is compared and decide nothing.
     """
 
     def __init__(self, definition: str, end: int | None, bits: int = 20, pool: int = 8 << 20):
@@ -129,6 +129,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.whole = WholeEncoder(definition, end)
         self.end = np.array([] if end is None else [end], dtype=np.uint32)
         alone = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = alone[0] if len(alone) == 1 else None
@@ -137,10 +138,11 @@ class Encoder:
 
     def _reset(self) -> None:
         size = 1 << (64 - int(self.shift))
-        self.keys, self.start, self.count = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.keys, self.start, self.count, self.at, self.length = np.zeros(size, np.uint64), *(np.zeros(size, np.int64) for _ in range(4))
         # the end id is at the front
         self.pool, self.used = np.zeros(1 << 16, np.uint32), len(self.end)
         self.pool[: self.used] = self.end
+        self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where each word's ids start in the pool, and how many there are.
@@ -163,8 +165,7 @@ class Encoder:
                 parts.append((np.delete(ids, marks), np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1))
         ids = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.uint32)
         counts = np.concatenate([n for _, n in parts]) if parts else np.zeros(0, np.int64)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        self.pool = _grown(self.pool, self.used + len(ids))
         self.pool[self.used : self.used + len(ids)] = ids
         starts = self.used + np.cumsum(counts) - counts
         self.used += len(ids)
@@ -172,21 +173,33 @@ class Encoder:
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids start and one more)."""
-        if self.used > self.limit:
+        if max(self.used, self.raw_used) > self.limit:
             self._reset()
         data, offsets = text_bytes(column)
         data = _folded(data)
-        h, first, last, texts = hashed_words(data, offsets, SPACES, ALONE)
+        first, last, texts = word_spans(data, offsets, SPACES, ALONE)
+        h, size = word_hashes(data, first, last), last - first
         words, where, inverse = np.unique(h, return_index=True, return_inverse=True)
         slot = (words >> self.shift).astype(np.int64)
         start, count = self.start[slot], self.count[slot]
-        new = np.flatnonzero((self.keys[slot] != words) | (words == 0))
+        known = (self.keys[slot] == words) & (words != 0) & (self.length[slot] == size[where])
+        hits = np.flatnonzero(known)
+        same = _equal_bytes(data, first[where[hits]], self.raw, self.at[slot[hits]], size[where[hits]])
+        known[hits] = same
+        if not ((size[where][inverse] == size).all() and _equal_bytes(data, first, data, first[where][inverse], size).all()):
+            return self.whole(column)  # two words of one hash in these texts
+        new = np.flatnonzero(~known)
         if len(new):
             raw = data.tobytes()
             at = where[new]
             start[new], count[new] = self._encode([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)])
-            to = slot[new]
+            to, length = slot[new], size[at]
+            bytes_ = data[_spread(first[at], length)]
+            self.raw = _grown(self.raw, self.raw_used + len(bytes_))
+            self.raw[self.raw_used : self.raw_used + len(bytes_)] = bytes_
             self.keys[to], self.start[to], self.count[to] = words[new], start[new], count[new]
+            self.at[to], self.length[to] = self.raw_used + np.cumsum(length) - length, length
+            self.raw_used += len(bytes_)
         # after each text's words comes the end id, which stands at the front of the pool
         start, count = (np.insert(x[inverse], texts[1:], v) for x, v in ((start, 0), (count, len(self.end))))
         before = np.concatenate([[0], np.cumsum(count)])
@@ -194,6 +207,27 @@ class Encoder:
         return ids, before[texts + np.arange(len(texts))]
 
 
+def _grown(pool: np.ndarray, size: int) -> np.ndarray:
+    """pool, doubled until it holds `size` elements."""
+    while size > len(pool):
+        pool = np.concatenate([pool, np.zeros(len(pool), pool.dtype)])
+    return pool
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of runs of `size`, one run after the other."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def _equal_bytes(a: np.ndarray, start_a: np.ndarray, b: np.ndarray, start_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each pair of runs of `size` bytes, whether they are equal."""
+    out = np.ones(len(size), dtype=bool)
+    differ = np.flatnonzero(a[_spread(start_a, size)] != b[_spread(start_b, size)])
+    if len(differ):
+        out[np.searchsorted(np.cumsum(size), differ, "right")] = False
+    return out
+
+
 class WholeEncoder:
     """Texts to ids, text by text, for any tokenizer."""
 
@@ -313,6 +347,6 @@ def op2_token_ids(docs: DataFrame, tokenizer: str | None = None, end: int = 2, p
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/hyperweft/tokens-{uuid.uuid4().hex}"
+    path = path or new_path(spark, "tokens")
     write_shards(docs, path, tokenizer, end)
     return read_documents(spark, path)

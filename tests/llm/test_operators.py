@@ -11,8 +11,7 @@ import pyarrow as pa
 import pytest
 
 from hyperweft.llm import decontam, exactdedup, html, langid, mixing, nearjoin, secretscan, substring, tokens, toxicity
-from hyperweft.llm.common import hashed_words, mix, text_bytes
-from hyperweft.llm.components import components
+from hyperweft.llm.common import SPACES, mix, text_bytes, text_names, window_names, word_hashes, word_spans
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, h string, n int, spans string, label int, word string"
 VOWELS = "aeiou"
@@ -129,47 +128,113 @@ def plain_near(rows, threshold=0.8):
     return {i: (least[root(i)], min(classes[w]), links[i], w) for i, w in enumerate(names)}, names
 
 
-def test_near_duplicates(docs, rows, none):
+def near_rows(rows):
     found, names = plain_near(rows)
     at = {w: i for i, w in enumerate(names)}
     back = lambda k: None if k == key(None) else k
-    want = Counter((r[0], *(back(k) for k in found[i][:2]), found[i][2]) for r in rows for i in [at[tuple(fold(r[1]).split())]])
-    assert Counter(map(tuple, nearjoin.op3_ngram_join(docs).collect())) == want
-    assert nearjoin.op3_ngram_join(none).count() == 0
+    return Counter((r[0], *(back(k) for k in found[i][:2]), found[i][2]) for r in rows for i in [at[tuple(fold(r[1]).split())]])
 
 
-def test_near_duplicates_in_blocks(docs, rows, monkeypatch):
-    monkeypatch.setattr(nearjoin, "BLOCK", 2)
-    found, _ = plain_near(rows)
-    out = nearjoin.op3_ngram_join(docs).collect()
-    assert Counter(r["n_links"] for r in out if r["doc_id"] is not None and r["doc_id"] < 72) and sum(r["n_links"] > 0 for r in out) == sum(found[i][2] > 0 for i, w in enumerate(found) for r in rows if tuple(fold(r[1]).split()) == found[i][3])
+def test_near_duplicates(docs, rows, none):
+    assert Counter(map(tuple, nearjoin.op3_ngram_join(docs).collect())) == near_rows(rows)
+    assert nearjoin.op3_ngram_join(none).count() == 0
 
 
-def test_one_of_each(docs, rows):
-    found, names = plain_near(rows)
+def family(seed=2, n=40):
+    """Documents of which each differs by a word or two from an earlier one, so that all hang together but not all are linked."""
+    rng = random.Random(seed)
+    words = [word(rng) for _ in range(150)]
+    out = []
+    for i in range(n):
+        words = list(words) if i % 8 else [*words[:140], *(word(rng) for _ in range(10))]
+        words[rng.randrange(len(words))] = word(rng) + "x"
+        out.append((i, " ".join(words)))
+    return out + [(500 + i, t) for i, t in out[:5]] + [(600, out[0][1].upper()), (None, out[1][1])]
+
+
+@pytest.mark.parametrize("broadcast", [0, 64 << 20])
+@pytest.mark.parametrize("node", [2, 400])
+def test_near_duplicates_in_blocks(spark, monkeypatch, broadcast, node):
+    """Pieces of more than a block, trie nodes that are too large to be compared, and tables that are too large for a broadcast."""
+    monkeypatch.setattr(nearjoin, "BLOCK", 4)
+    monkeypatch.setattr(nearjoin, "NODE", node)
+    monkeypatch.setattr(nearjoin, "BROADCAST_BYTES", broadcast)
+    rows = family()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(map(tuple, nearjoin.op3_ngram_join(docs).collect())) == near_rows(rows)
+
+
+def test_recall_by_similarity(spark):
+    """Links that the forest finds, by bands of exact similarity, over random pairs."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(400):
+        words = [f"w{rng.randrange(10**7)}" for _ in range(rng.randrange(60, 200))]
+        other = list(words)
+        for _ in range(rng.randrange(0, 4)):
+            other[rng.randrange(len(other))] = f"x{rng.randrange(10**7)}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    out = {r["doc_id"]: r for r in nearjoin.op3_ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = Counter()
+    for k in range(400):
+        a, b = (frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for _, t in rows[2 * k : 2 * k + 2])
+        s = len(a & b) / len(a | b)
+        seen[min(int(s * 20), 19), out[2 * k]["class_id"] == out[2 * k + 1]["class_id"]] += 1
+    for band in {b for b, _ in seen}:
+        share = seen[band, True] / (seen[band, True] + seen[band, False])
+        assert share >= 0.99 if band >= 16 else share == 0, band
+
+
+def joined(n, edges):
+    """The smallest member of each of n members' connected piece."""
+    own = list(range(n))
+    for _ in own:
+        for i, j in edges:
+            own[i] = own[j] = min(own[i], own[j])
+    return own
+
+
+def test_trie_walk():
+    """Forests of trie nodes join what pairs with a common prefix of each length join; recall estimates follow the prefixes."""
+    rng = np.random.default_rng(5)
+    p = nearjoin.NearParams()
+    base = [np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64)) for _ in range(6)]
+    sets = [np.unique(np.concatenate([b[: 200 - k], rng.integers(0, 2**63, k, dtype=np.uint64)])) for b in base for k in (0, 4, 8, 20, 60)]
+    prefix, rest, sketch = nearjoin.signatures(sets, p)
+    floor, width = nearjoin.floor_length(p), nearjoin.field_bits(p)
+    assert floor == 5 and nearjoin.meets(0.8, 5, 24) >= p.recall > nearjoin.meets(0.8, 6, 24)
+    total = np.zeros((p.depth + 1, 2))
+    for t in range(p.trees):
+        order = np.lexsort((rest[:, t], prefix[:, t]))
+        x, r = prefix[order, t], rest[order, t]
+        starts = np.append(np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])), len(x))
+        many = [(a, b) for a, b in zip(starts[:-1], starts[1:]) if b - a > 1]
+        for a, b in many:
+            forest, sums = nearjoin.walk(r[a:b], sketch[order][a:b], np.array([0, b - a]), p)
+            total += sums
+            for n in range(floor, p.depth + 1):
+                cut = width * (p.depth - n)
+                pairs = [(i, j) for i in range(b - a) for j in range(i) if r[a + i] >> cut == r[a + j] >> cut and (sketch[order][a + i] == sketch[order][a + j]).mean() * 256 - 1 >= 255 * (0.8 - 5 * (0.16 / 168) ** 0.5)]
+                assert joined(b - a, pairs) == joined(b - a, [(u, v) for u, v, k in forest if k >= n])
+    share = nearjoin.recalls(dict(enumerate(map(tuple, total))), p)
+    assert share[5] >= share[6] >= share[7] > 0.99
+
+
+def test_one_of_each(spark, docs, rows):
     kept = nearjoin.one_of_each(docs)
     assert kept.columns == docs.columns
-    ids = {key(r["doc_id"]) for r in kept.collect()}
-    assert {v[0] for v in found.values() if v[3]} <= ids
-    assert 1000 in ids and 1001 in ids
-
-
-def test_components(spark):
-    rng = random.Random(3)
-    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(200, k) for k in range(201, 240)]
-    parent = {x: x for e in edges for x in e}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    linked = {x for a, b in edges if a != b for x in (a, b)}
-    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {x: root(x) for x in linked}
+    found, names = plain_near(rows)
+    at = {w: i for i, w in enumerate(names)}
+    want = Counter()
+    for r in rows:
+        w = tuple(fold(r[1]).split())
+        least, copy_of, _, _ = found[at[w]]
+        if not w or key(r[0]) == least == copy_of:
+            want[r[:2]] += 1
+    assert Counter(tuple(r[:2]) for r in kept.collect()) == want
+    a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    few = spark.createDataFrame([(1, a), (3, a), (3, b), (4, None), (5, "")], "doc_id long, text string")
+    assert Counter(map(tuple, nearjoin.one_of_each(few).collect())) == Counter([(1, a), (3, b), (4, None), (5, "")])
 
 
 # --- substring dedup ----------------------------------------------------------------------------------------------
@@ -520,11 +585,60 @@ def test_rates_match_a_dense_solution(spark):
     assert record[-1]["error"] <= record[0]["error"]
 
 
-def test_hashes_of_words_dont_depend_on_place():
+def thue_morse(n, a, b):
+    return [(a, b)[bin(k).count("1") % 2] for k in range(n)]
+
+
+def test_names_of_words_and_texts():
     a = pa.array(["one two", None, "two,one  one", "", "wo"])
     data, offsets = text_bytes(a.slice(1))
     ends = np.array([chr(c) in " ," for c in range(256)])
-    h, start, end, texts = hashed_words(data, offsets, ends)
+    start, end, texts = word_spans(data, offsets, ends)
+    h = word_hashes(data, start, end)
     assert texts.tolist() == [0, 0, 3, 3, 4] and h[1] == h[2] and h[0] != h[1] and h[3] not in h[:3]
-    h2, *_ = hashed_words(*text_bytes(a.slice(0, 1)), ends)
-    assert h2[0] == h[1] and h2[1] == h[0]
+    data, offsets = text_bytes(a.slice(0, 1))
+    start, end, _ = word_spans(data, offsets, ends)
+    h2 = word_hashes(data, start, end)
+    assert h2[0] == h[1] and h2[1] == h[0] and word_hashes(data, start, end, 1)[0] != h2[0]
+    names = list(zip(*text_names([b"a b", b" a\tb ", b"ab", b"", b" "])))
+    assert names[0] == names[1] != names[2] and names[3] == names[4]
+
+
+def test_names_of_windows():
+    rng = np.random.default_rng(3)
+    for width in (1, 2, 3, 7, 50):
+        h = mix(rng.integers(0, 2, 400).astype(np.uint64))
+        at = np.arange(len(h) - width + 1)
+        names = nearest = window_names(h, at, width)
+        words = [tuple(h[i : i + width].tolist()) for i in at]
+        assert len(set(names.tolist())) == len(set(words)) == len(set(zip(nearest.tolist(), words)))
+        assert len(window_names(h[: width - 1], np.zeros(0, np.int64), width)) == 0
+
+
+def test_structured_texts_have_names_of_their_own(spark):
+    """Words and texts of the Thue-Morse sequence and its complement, which collide in polynomial hashes modulo powers of 2."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(definition())
+    words = ["".join(thue_morse(2048, a, b)) for a, b in ("ab", "ba")]
+    texts = [" ".join(thue_morse(1024, a, b)) for a, b in (("ab", "cd"), ("cd", "ab"))]
+    rows = [(1, words[0]), (2, words[1]), (3, texts[0]), (4, texts[1]), (5, words[0] + " " + words[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for r in tokens.op2_token_ids(docs).collect():
+        ids = t.encode(dict(rows)[r["doc_id"]], add_special_tokens=False).ids + [2]
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+    assert Counter(map(tuple, substring.op7_substring_dedup(docs).collect())) == plain_substring(rows)
+    assert Counter(map(tuple, nearjoin.op3_ngram_join(docs).collect())) == near_rows(rows)
+
+
+def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
+    """With all hashes equal the encoder still gives every text its own ids."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "word_hashes", lambda data, start, end: np.full(len(start), 77, np.uint64))
+    with open(definition(), encoding="utf-8") as f:
+        raw = f.read()
+    e, t = tokens.Encoder(raw, 2), Tokenizer.from_str(raw)
+    for texts in (["one"], ["two"], ["one"], ["six"], ["one two", "three", None]):
+        ids, at = e(pa.array(texts, pa.string()))
+        assert [ids[at[j] : at[j + 1]].tolist() for j in range(len(texts))] == [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
