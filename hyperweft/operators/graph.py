@@ -62,20 +62,22 @@ def _are_stars(pairs: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of edges(u, v): root is the smallest node of the component.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014), whose number grows with the logarithm of the
+    Alternating small-star and large-star rounds (Kiveris et al., 2014), whose number grows with the logarithm of the
     nodes, until only stars are left. Smallest neighbours are aggregates that combine before the shuffle, and hubs get theirs by a
     bounded broadcast, so that no task gathers a hub's edges.
     """
     pairs = cut(edges.select(F.least("u", "v").alias("low"), F.greatest("u", "v").alias("high")).filter("low <> high").distinct(), "edges")
-    while not _are_stars(pairs):
+    while True:
+        # small star: the smallest smaller neighbour of a node meets the node, and all other smaller ones
+        least = _least(pairs, "high", "low")
+        others = join_hot(pairs, least, ["high"], "n").filter("low > m").select(F.col("m").alias("low"), F.col("low").alias("high"))
+        pairs = cut(least.select(F.col("m").alias("low"), "high").unionByName(others).distinct(), "edges")
+        if _are_stars(pairs):
+            break
         # large star: every larger neighbour of a node meets the smallest of the node and its neighbours
         both = pairs.select(F.explode(F.array(F.struct(F.col("low").alias("u"), F.col("high").alias("v")), F.struct(F.col("high").alias("u"), F.col("low").alias("v")))).alias("e")).select("e.*")
         large = join_hot(both.filter("v > u"), _least(both, "u", "v"), ["u"], "n").select(F.least("u", "m").alias("low"), F.col("v").alias("high"))
-        large = cut(large.filter("low <> high").distinct(), "edges")
-        # small star: every smaller neighbour of a node, and the node, meet the smallest of them
-        joined = join_hot(large, _least(large, "high", "low"), ["high"], "n")
-        star = joined.select(F.col("m").alias("low"), F.explode(F.array("low", "high")).alias("high"))
-        pairs = cut(star.filter("low <> high").distinct(), "edges")
+        pairs = cut(large.filter("low <> high").distinct(), "edges")
     return pairs.select(F.col("high").alias("node"), F.col("low").alias("root")).unionByName(pairs.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct())
 
 
