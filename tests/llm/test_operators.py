@@ -11,7 +11,8 @@ import pyarrow as pa
 import pytest
 
 from hyperweft.llm import decontam, exactdedup, html, langid, mixing, nearjoin, secretscan, substring, tokens, toxicity
-from hyperweft.llm.common import SPACES, mix, text_bytes, text_names, window_names, word_hashes, word_spans
+from hyperweft.llm.common import mix, text_bytes, text_names, window_names, word_hashes, word_spans
+from hyperweft.llm.pages import written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, h string, n int, spans string, label int, word string"
 VOWELS = "aeiou"
@@ -476,6 +477,69 @@ def test_main_text():
     assert html.main_text("<p>" + "plain words without any article around them, but enough of them to count as text" + "</p><p") == "plain words without any article around them, but enough of them to count as text"
 
 
+#: Pages that the classifier has not seen; blocks of the main text start with '+'.
+HELD_OUT = [
+    """<div id="wrapper" class="has-menu"><div class="nav-menu"><a href="/1">{1}</a> <a href="/2">{1}</a></div><div class="main-content"><h1>+{6}</h1><p>+{51}</p><p>+{34} <a href="/x">{2}</a> {9}</p><p>+{40}</p></div><div class="footer-links"><a href="/3">{2}</a></div></div>""",
+    """<header><h2>{3}</h2></header><article class="entry"><div class="entry-header"><h1>+{5}</h1></div><p>+{28}</p><div class="ad-slot"><p>{22}</p></div><p>+{63}</p><p>+{2}</p></article><div class="comments-area"><p>{33}</p><p>{50}</p></div><footer>{11}</footer>""",
+    """<h1>+{8}</h1><p>+{37}</p><p>+{45}</p><ul><li>+{12}<li>+{10}</ul><p>+{66}</p><p><a href="/">{1}</a></p>""",
+    """<nav><ul><li><a href="/1">{2}</a><li><a href="/2">{1}</a></ul></nav><main><div class="legal-history"><h1>+{4}</h1><p>+{48}</p><p>+{55}</p></div></main><aside>{19}</aside><div class="cookie-consent">{24}</div>""",
+    """<div><a href="/1">{4}</a></div><div><a href="/2">{5}</a></div><div>{2}</div>""",
+    """<div class="layout sidebar-left"><article><h1>+{7}</h1><p>+{4}</p><p>+{3}</p></article><div class="sidebar"><p>{30}</p></div></div>""",
+    """<table><tr><td><a href="/1">{2}</a></td><td><p>+{58}</p><p>+{39}</p><p>+{11}</p></td></tr></table>""",
+    """<div>{90}</div>""".replace("{90}", "+{90}") + """<div class="related-posts"><a href="/1">{7}</a></div><div class="subscribe"><p>{13}</p></div><form>{5}</form>""",
+]
+
+
+def test_blocks_of_unseen_pages():
+    """Precision and recall of blocks, and the plain reading of the tree."""
+    right = wrong = missed = 0
+    for page in HELD_OUT:
+        found = html.blocks(written(page))
+        x = html.features(found)
+        keep = html.classify(html.content_tree(), x)
+        for k, (b, row) in enumerate(zip(found, x.tolist())):
+            tree = html.content_tree()
+            while isinstance(tree, tuple):
+                f, t, low, high = tree
+                tree = low if row[f] <= t else high
+            assert bool(tree) == bool(keep[k])
+            # the features of a block, by hand
+            side = lambda j: (found[j][1], min(1.0, found[j][2] / found[j][1])) if 0 <= j < len(found) else (0, 0.0)  # noqa: B023, E731
+            prose = sorted(w if d < 0.5 else 0 for w, d in (side(k + j) for j in (-2, -1, 1, 2)))
+            assert row == [*side(k), *side(k - 1), *side(k + 1), *prose[2:], *b[3:]]
+            wanted = b[0].startswith("+")
+            right, wrong, missed = right + (wanted and keep[k]), wrong + (keep[k] and not wanted), missed + (wanted and not keep[k])
+    print(f"held-out blocks: precision {right / (right + wrong):.3f}, recall {right / (right + missed):.3f}")
+    assert right / (right + wrong) >= 0.9 and right / (right + missed) >= 0.9
+
+
+def test_tree_is_the_best_split_by_brute_force():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 6, (40, 3)).astype(float)
+    y = ((x[:, 1] > 2) & (x[:, 2] < 4)).astype(int)
+    f, t, low, high = html.grow(x, y, least=1)
+    cost = lambda f, t: sum(len(p) * p.mean() * (1 - p.mean()) for p in (y[x[:, f] <= t], y[x[:, f] > t]))
+    assert cost(f, t) <= min(cost(g, s - 0.5) for g in range(3) for s in np.unique(x[:, g])[1:]) + 1e-9
+    assert (html.classify((f, t, low, high), x) == y.astype(bool)).all()
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div class="container no-sidebar"><article><h1>A title</h1><p>words of it</p></article></div>', "A title\nwords of it"),
+        ('<div class="layout with-sidebar"><p>' + "some words " * 20 + "</p></div>", ("some words " * 20).strip()),
+        ('<main><div class="social-science"><p>' + "some words " * 20 + "</p></div></main>", ("some words " * 20).strip()),
+        ('<article><header class="entry-header"><h1>A title</h1></header><p>words of it</p></article>', "A title\nwords of it"),
+        ('<article><div class="article-header"><h1>A title</h1></div><p>words of it</p></article>', "A title\nwords of it"),
+        ('<div class="sidebar"><article><h1>A title</h1><p>words of it</p></article></div>', "A title\nwords of it"),
+        ('<article><p>same</p><p>same</p></article><aside><article><p>another</p></article></aside>', "same\nsame"),
+        ("<article><p>" + "very long " * 200_000 + "</p></article>", ("very long " * 200_000).strip()),
+    ],
+)
+def test_wrappers_and_titles(page, want):
+    assert html.main_text(page) == want
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 3), (2, None, None, 4), (None, "v", "", 5)], "page_id long, url string, html string, n_chars int")
     out = {r["page_id"]: r for r in html.op5_html(pages).collect()}
