@@ -572,19 +572,70 @@ def test_secrets(spark):
         base = plain_base(t)
         assert out[k]["base_sha256"] == hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in base).encode()).hexdigest()
         assert (out[k]["n_assign"], out[k]["n_access"], out[k]["n_hex"]) == tuple(sum(s[0] == x for s in base) for x in ("assign", "access", "hex"))
-    assert "linked_key:" in out[2]["spans"] and "linked_endpoint:" in out[2]["spans"]
+        assert out[k]["links"] == ",".join("{}:{}:{}={}:{}:{}".format(*a, *c) for a, c, _ in plain_links(t or ""))
+        assert out[k]["n_links"] == sum(n for *_, n in plain_links(t or ""))
+    assert "linked_key:" in out[2]["spans"] and "linked_endpoint:" in out[2]["spans"] and out[2]["n_links"] == 2
+    twice = df.unionByName(df.filter("doc_id = 2"))
+    assert sorted(r["spans"] for r in secretscan.op6_secrets(twice).collect() if r["doc_id"] == 2) == [out[2]["spans"]] * 2
     assert out[3]["spans"] == ""
     assert secretscan.op6_secrets(df.limit(0)).count() == 0
 
 
-def test_interval_join():
+def plain_links(t, p=secretscan.SecretParams()):
+    """Links by looking at all pairs of parts."""
+    base = plain_base(t)
+
+    def border(lo, hi):
+        return re.search(r"\n[ \t\r]*\n", t[lo:hi]) is not None
+
+    def near(a, b):
+        first, second = (a, b) if a[1] <= b[1] else (b, a)
+        gap = second[1] - first[2]
+        return gap < p.scope or gap < p.paragraph_scope and not border(first[2], second[1])
+
+    def pairs(cands, parts):
+        out = []
+        for c in cands:
+            mine = [x for x in parts if near(c, x)]
+            if mine:
+                gap = lambda x: (c[1] - x[2], 0) if x[1] < c[1] else (x[1] - c[2], 1)  # noqa: B023, E731
+                out.append((c, min(mine, key=gap), len(mine)))
+        return out
+
+    free = lambda c: all(c[2] <= x[1] or x[2] <= c[1] for x in base)
+    keys = [("linked_key", *m.span()) for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])", t) if secretscan.entropy(m[0]) >= 3.5 and re.search(r"\d", m[0]) and re.search("[A-Za-z]", m[0])]
+    ends = [("linked_endpoint", *m.span()) for m in secretscan.ENDPOINT.finditer(t)]
+    links = pairs([k for k in keys if free(k)], [x for x in base if x[0] == "access"])
+    links += pairs([e for e in ends if free(e)], [x for x in base if x[0] == "assign"] + [x[0] for x in links])
+    return sorted(links, key=lambda x: (x[0][1], x[0][0] != "linked_key"))
+
+
+def test_links_by_brute_force():
     rng = random.Random(2)
-    for _ in range(200):
-        anchors = [(a, a + rng.randrange(1, 30)) for a in (rng.randrange(1000) for _ in range(rng.randrange(1, 6)))]
-        spans = [(a, a + rng.randrange(1, 30)) for a in (rng.randrange(1000) for _ in range(10))]
-        s, e = np.array(spans).T
-        want = [any(a - 40 < y and x < b + 40 for a, b in anchors) for x, y in spans]
-        assert secretscan.near(s, e, anchors, 40).tolist() == want
+    bare = lambda n: "".join(rng.choice("abcdefghijkXYZ0123456789") for _ in range(n)) + "a1"
+    linked = 0
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randrange(2, 9)):
+            parts.append(rng.choice([
+                "AKIA" + "".join(rng.choice("ABC123") for _ in range(16)), bare(rng.choice([34, 40, 120])), f"https://h{rng.randrange(99)}.example.com/x", "password=" + bare(8), "é words", f"{rng.getrandbits(128):032x}",
+            ]))
+            parts.append(" " * rng.choice([1, 1, 150, 199, 200, 201, 600]) if rng.random() < 0.8 else " \n \n" + " " * rng.choice([1, 150, 300]))
+        t = "".join(parts)
+        spans, links = secretscan.scan(t)
+        assert links == plain_links(t), t
+        assert [s for s in spans if s[0].startswith("linked")] == [x[0] for x in links]
+        linked += len(links)
+    assert linked > 100
+
+
+def test_weak_parts_need_a_complement():
+    key, url, ident = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12", "https://db.example.com/x", "AKIA" + "Q" * 16
+    kinds = lambda t: [s[0] for s in secretscan.scan(t)[0]]
+    assert kinds(f"{key} {url}") == [] and kinds(f"password=abcdef12 {key}") == ["assign"] and kinds(f"{ident} {url}") == ["access"]
+    assert kinds(f"{ident} {key} {url}") == ["access", "linked_key", "linked_endpoint"] and kinds(f"password=abcdef12 {url}") == ["assign", "linked_endpoint"]
+    long = f"{ident} {key}" + " far" * 100_000 + f" {key} " + "k9Z" * 5000
+    assert len(secretscan.scan(long)[1]) == 1
 
 
 def test_toxicity(spark, rows, docs, none):
