@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ ODD = [np.uint64(int(x) * 2 + 1) for x in np.random.default_rng(41).integers(2**
 
 @dataclass(frozen=True)
 class DecontamParams:
-    """items_at_once, with `stride` words an item, bounds what is broadcast and indexed; more items or words take more passes."""
+    """index_bytes bounds the index that is broadcast; items whose tables are larger together take more passes over the documents."""
 
     rate: float = 0.2
     walks: int = 8
@@ -47,9 +48,14 @@ class DecontamParams:
     bits: int = 3
     stride: int = 4
     steps: int = 48
-    items_at_once: int = 50_000
+    index_bytes: int = 64 << 20
     seed: int = 17
 
+    @property
+    def words_at_once(self) -> int:
+        """Words of items that an index of index_bytes holds: a key, item and place of 16 bytes, and up to 8 of a bitmap, in every table."""
+        return max(1, self.index_bytes // (24 * self.walks * self.samples))
+
 
 def edit_distance(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     """The least number of word edits between item and any run of window's words, and where the run ends."""
@@ -69,8 +75,12 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed_words(FOLD[data], offsets, MARKS)
 
 
+#: Windows of a slice that are embedded at once.
+WINDOWS = 1 << 17
+
+
 class Index:
-    """Items and the tables of their sampled embeddings."""
+    """Items and the tables of their sampled embeddings; made once, and sent as arrays."""
 
     def __init__(self, items: list[tuple[int, str | None]], p: DecontamParams):
         self.p = p
@@ -80,7 +90,6 @@ class Index:
             h = hashes[a:b]
             if len(h):
                 self.items.append((i, h))
-        self.bags = [frozenset(h.tolist()) for _, h in self.items]
         rng = np.random.default_rng(p.seed)
         self.seeds = rng.integers(1, 2**63, p.walks, dtype=np.uint64)
         self.passes = []
@@ -91,6 +100,13 @@ class Index:
                 plans = [(c, self._positions(rng, min(p.steps, max(1, 3 * (1 << c) // 2)))) for c in sizes]
                 self.passes.append((stride, max(pos.max() for _, pos in plans) + 1, plans, self._tables(mine, plans)))
 
+    @cached_property
+    def bags(self) -> list[frozenset]:
+        return [frozenset(h.tolist()) for _, h in self.items]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "bags"}
+
     def _positions(self, rng: np.random.Generator, steps: int) -> np.ndarray:
         """[walk, sample, bit]: one step of each of `bits` equal parts of the walk, from its first two thirds, as neighbouring steps often read one word."""
         k = min(self.p.bits, steps)
@@ -134,7 +150,7 @@ class Index:
                 inside = np.flatnonzero(last.pop(table) < end)
                 order = inside[np.argsort(keys[inside], kind="stable")]
                 keys = keys[order]
-                bits = max(16, (4 * len(keys)).bit_length())
+                bits = max(12, (4 * len(keys)).bit_length())
                 shift = np.uint64(64 - bits)
                 bitmap = np.zeros(1 << bits, dtype=bool)
                 bitmap[(keys >> shift).astype(np.int64)] = True
@@ -155,22 +171,26 @@ class Index:
             # windows of each document from its own first word on
             at = np.arange(len(h) - 64)
             inside = at - np.repeat(ends - sizes, sizes)
-            at = at[inside % stride == 0]
-            for table, keys in self.keys(h, at, steps, plans):
-                if table not in tables:
-                    continue
-                shift, bitmap, known, items, before = tables[table]
-                hit = np.flatnonzero(bitmap[(keys >> shift).astype(np.int64)])
-                low, high = np.searchsorted(known, keys[hit], "left"), np.searchsorted(known, keys[hit], "right")
-                some = high > low
-                start, low, n = at[hit[some]], low[some], (high - low)[some]
-                place = start + (np.searchsorted(ends, start, "right") + 1) * most
-                total = np.cumsum(n)
-                for a in range(0, int(total[-1]) if len(total) else 0, HITS):
-                    r = np.arange(a, min(a + HITS, total[-1]))
-                    row = np.searchsorted(total, r, "right")
-                    y = low[row] + r - (total - n)[row]
-                    found = np.union1d(found, (items[y].astype(np.int64) << PLACE) + place[row] - before[y])
+            every = at[inside % stride == 0]
+            for k in range(0, len(every), WINDOWS):
+                # the walks of these windows read no further than `steps` words
+                origin = every[k]
+                at = every[k : k + WINDOWS] - origin
+                for table, keys in self.keys(h[origin : origin + at[-1] + 64], at, steps, plans):
+                    if table not in tables:
+                        continue
+                    shift, bitmap, known, items, before = tables[table]
+                    hit = np.flatnonzero(bitmap[(keys >> shift).astype(np.int64)])
+                    low, high = np.searchsorted(known, keys[hit], "left"), np.searchsorted(known, keys[hit], "right")
+                    some = high > low
+                    start, low, n = at[hit[some]] + origin, low[some], (high - low)[some]
+                    place = start + (np.searchsorted(ends, start, "right") + 1) * most
+                    total = np.cumsum(n)
+                    for a in range(0, int(total[-1]) if len(total) else 0, HITS):
+                        r = np.arange(a, min(a + HITS, total[-1]))
+                        row = np.searchsorted(total, r, "right")
+                        y = low[row] + r - (total - n)[row]
+                        found = np.union1d(found, (items[y].astype(np.int64) << PLACE) + place[row] - before[y])
         if not len(found):
             return []
         item, place = found >> PLACE, found & ((1 << PLACE) - 1)
@@ -208,25 +228,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: DecontamParams =
     """(id, h, item_id, first_word, edits, similarity): a row for each doc_id, text and item that it holds.
 
     h: a hash of the text. Null or empty texts and items without words match nothing; equal items each match; a
-    null item_id is kept as null. Documents are read once for each `items_at_once` items, or as many words as these
-    have at `stride` words an item, without a shuffle.
+    null item_id is kept as null. Documents are read once for each `words_at_once` words of items, without a shuffle; only the items of
+    one pass are on the driver, which makes their index once and broadcasts it. Of places with equally few edits the first one counts.
     """
     p = params
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null").distinct()
     # no fewer than the words of an item, each of which starts a row of every table
     starts = F.size(F.split("text", r"[\x00-\x7F&&[^A-Za-z0-9_]]+"))
-    n, total = items.agg(F.count("*"), F.sum(starts)).first()
-    blocks = max(1, -(-n // p.items_at_once), -(-(total or 0) // (p.items_at_once * p.stride)))
+    total = items.agg(F.sum(starts)).first()[0] or 0
+    blocks = max(1, -(-total // p.words_at_once))
     narrow = docs.select(id_key().alias("id"), F.xxhash64("text").alias("h"), "text")
     out = None
     for k in range(blocks):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         if not some and (out is not None or k < blocks - 1):
             continue
-        shared = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in some])
+        shared = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in some], p))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, p)
+            index = shared.value
             for b in slices(batches, text=2):
                 found = index.search(b.column(2))
                 at = pa.array([f[0] for f in found], pa.int64())

@@ -1,6 +1,7 @@
 """Each operator against a plain version, on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -341,7 +342,7 @@ def test_more_items_than_at_once(spark, docs, rows):
     texts = [r[1] for r in rows if r[1] and len(r[1].split()) >= 30][:5]
     bench = spark.createDataFrame([(k, " ".join(t.split()[:25])) for k, t in enumerate(texts)], "item_id long, text string")
     whole = {tuple(r) for r in decontam.op8_decontamination(docs, bench).collect()}
-    assert {tuple(r) for r in decontam.op8_decontamination(docs, bench, decontam.DecontamParams(items_at_once=2)).collect()} == whole
+    assert {tuple(r) for r in decontam.op8_decontamination(docs, bench, decontam.DecontamParams(index_bytes=48 * 24 * 60)).collect()} == whole
 
 
 @pytest.mark.parametrize("n", [6, 30, 100])
@@ -359,6 +360,32 @@ def test_items_are_found_wherever_the_edits_are(n, kind):
     assert len(found) >= 0.98 * len(items)
 
 
+@pytest.mark.parametrize("percent", [10, 15, 20])
+@pytest.mark.parametrize("n", [8, 25, 60])
+def test_recall_of_random_edits(n, percent):
+    """Words replaced, dropped and put in at random places; long texts, and windows taken in parts, find the same."""
+    rng = random.Random(100 * n + percent)
+    fresh = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    items, texts = [(k, fresh(n)) for k in range(120)], []
+    for _, x in items:
+        x = list(x)
+        for _ in range(int(percent / 100 * n + 1e-9)):
+            i = rng.randrange(len(x))
+            x[i : i + rng.choice([0, 1, 1])] = fresh(rng.choice([1, 1, 0]) or int(len(x) < 2))
+        texts.append(" ".join(fresh(rng.randrange(300)) + x + fresh(30)))
+    index = pickle.loads(pickle.dumps(decontam.Index([(k, " ".join(x)) for k, x in items], decontam.DecontamParams())))
+    found = index.search(pa.array(texts))
+    assert all(doc == i for doc, i, *_ in found)
+    assert len(found) >= 0.97 * len(items)
+    one = index.search(pa.array([" ".join(texts)]))
+    assert {i for _, i, *_ in one} == {i for _, i, *_ in found}
+    decontam.WINDOWS, before = 77, decontam.WINDOWS
+    try:
+        assert index.search(pa.array(texts)) == found
+    finally:
+        decontam.WINDOWS = before
+
+
 def test_hits_looked_at_in_parts(monkeypatch):
     texts = pa.array(["ha " * 300, "x " + "ha " * 40 + "y", "no", None])
     index = decontam.Index([(1, "ha " * 40), (2, "x " + "ha " * 20)], decontam.DecontamParams())
