@@ -16,17 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperweft.llm.common import slices, with_fields
+from hyperweft.llm.common import BROADCAST_BYTES, materialize, slices, with_fields
 
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """rows_per_lang bounds (in expectation, by a hash of doc_id) the labelled rows of each language that prototypes are learned from; at most `langs` languages, the most frequent ones."""
+    """rows_per_lang bounds (in expectation, by a hash of doc_id) the labelled rows of each language that prototypes are learned from. All languages are learned."""
 
     dim: int = 1024
     n: int = 3
     rows_per_lang: int = 4000
-    langs: int = 500
     sharpness: float = 40.0
     seed: int = 11
 
@@ -105,8 +104,10 @@ def prototypes(labelled: DataFrame, params: LanguageParams = LanguageParams()) -
     """Learn from labelled(doc_id, text, lang); languages in alphabetical order and their unit vectors."""
     p = params
     usable = labelled.filter("lang is not null and text is not null")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.langs)
-    share = F.broadcast(counts.select("lang", (F.lit(p.rows_per_lang) / F.col("count")).alias("share")))  # at most `langs` rows
+    counts = materialize(usable.groupBy("lang").count(), "langs")
+    if (n := counts.count()) * p.dim * 4 > BROADCAST_BYTES:
+        raise ValueError(f"{n} languages: their prototypes don't fit {BROADCAST_BYTES} bytes")
+    share = F.broadcast(counts.select("lang", (F.lit(p.rows_per_lang) / F.col("count")).alias("share")))  # fewer bytes than the prototypes
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = usable.join(share, "lang").filter(draw < F.col("share")).select("lang", "text")
 
@@ -153,7 +154,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], params: Langu
 
 
 def op4_language_id(docs: DataFrame, params: LanguageParams = LanguageParams()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document."""
+    """doc_id, held_out, lang_pred, score of every document, row by row where a doc_id repeats.
+
+    A null or empty text, or one without a letter, is 'und' with score 0; so is every text if no language can be learned. Of
+    languages with equal cosines the first in the order of letters is predicted. A null doc_id is not held out.
+    """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = prototypes(docs.filter(~held).select("doc_id", "text", "lang"), params)
     out = identify(docs.select("doc_id", "text"), model, params)

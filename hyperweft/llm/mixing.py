@@ -10,13 +10,14 @@
    total, which bounds the largest eigenvalue by 1, so that the step 1 always descends.
 4. A document is written floor(r) times, and once more with probability r - floor(r), by a hash of its id.
 
-Without `budget`, the tokens of the mix are the fewest for which no domain shrinks: documents are
-repeated, and none has to be left out.
+Without `budget`, the tokens of the mix are the fewest for which no domain shrinks, and no document with words gets a rate below 1 (unless
+that would double the mix, as posteriors are too soft for the targets): documents are repeated, and none is left out.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -86,31 +87,44 @@ def memberships(docs: DataFrame, model: tuple[DataFrame, list[float]], p: MixPar
     return e.select("id", "h", "n_tokens", *[(F.col(f"e{j}") / total).alias(f"p{j}") for j in k])
 
 
-def fit_rates(members: DataFrame, p: MixParams) -> tuple[Column, list[dict]]:
-    """The rate as an expression over members, and the rounds' records: expected tokens and largest relative error."""
+#: Rounds after which rates are written, so that a round doesn't work out all before it again.
+WRITTEN = 8
+
+
+def fit_rates(members: DataFrame, p: MixParams) -> tuple[DataFrame, list[dict]]:
+    """members with `rate`, and the rounds' records: expected tokens and largest relative error, the last one of the rates returned."""
     names = sorted(p.targets)
     k = range(len(names))
     weight = sum(p.targets.values())
 
-    def totals(rate: Column) -> list[float]:
-        row = members.agg(*[F.sum(rate * F.col("n_tokens") * F.col(f"p{j}")).alias(f"t{j}") for j in k]).first()
+    def totals(rated: DataFrame, rate: Column) -> list[float]:
+        row = rated.agg(*[F.sum(rate * F.col("n_tokens") * F.col(f"p{j}")).alias(f"t{j}") for j in k]).first()
         return [float(x or 0.0) for x in row]
 
-    rate = F.lit(1.0)
-    natural = now = totals(rate)
+    rated, rate = members, F.lit(1.0)
+    natural = now = totals(rated, rate)
     shares = [p.targets[n] / weight for n in names]
     budget = p.budget if p.budget is not None else max((s / w for s, w in zip(natural, shares, strict=True) if w > 0), default=0.0)
     wanted = [budget * w for w in shares]
     record = []
-    for _ in range(p.rounds):
+    for done in range(p.rounds + 1):
         error = max((abs(a - b) / budget for a, b in zip(now, wanted, strict=True)), default=0.0) if budget else 0.0
         record.append({"tokens": now, "wanted": wanted, "error": error})
-        if error <= p.tolerance:
+        if error <= p.tolerance or done == p.rounds:
             break
         step = [(a - b) / n if n > 0 else 0.0 for a, b, n in zip(now, wanted, natural, strict=True)]
         rate = F.greatest(F.lit(0.0), rate - sum((F.lit(step[j]) * F.col(f"p{j}") for j in k), F.lit(0.0)))
-        now = totals(rate)
-    return rate, record
+        if (done + 1) % WRITTEN == 0:
+            rated, rate = materialize(rated.withColumn("rate", rate), "rates"), F.col("rate")
+        now = totals(rated, rate)
+    rated = rated.withColumn("rate", rate)
+    if p.budget is None:
+        # soft posteriors can put rates of the scarcest domain a little below 1: all rates rise by one factor, which keeps the shares. Where
+        # posteriors are so soft that the mix would more than double, documents are left out
+        least = rated.filter("n_tokens > 0").agg(F.min("rate")).first()[0]
+        if least is not None and 0.5 <= least < 1:
+            rated = rated.withColumn("rate", F.greatest(F.col("rate") / F.lit(least), F.when(F.col("n_tokens") > 0, F.lit(1.0))))
+    return rated, record
 
 
 def mix(docs: DataFrame, labelled: DataFrame, params: MixParams | None = None) -> DataFrame:
@@ -118,12 +132,14 @@ def mix(docs: DataFrame, labelled: DataFrame, params: MixParams | None = None) -
 
     labelled(doc_id, domain): rows of unknown domains and null ids are not learned from. A document without
     words has no tokens and the priors as its posterior, and gets a rate like any other. Rows that
-    repeat a doc_id and its text share one row. Empty tables give no rows.
+    repeat a doc_id and its text share one row. Of words that are equally frequent at the end of the vocabulary the first ones in
+    the order of letters are known. Empty tables give no rows. A fit that ends short of its targets warns.
     """
     p = params or MixParams()
     members = materialize(memberships(docs, train(docs, labelled, p), p), "memberships")
-    rate, _ = fit_rates(members, p)
-    rated = members.withColumn("rate", rate)
+    rated, record = fit_rates(members, p)
+    if record[-1]["error"] > 0.01:
+        warnings.warn(f"rates miss their targets by {record[-1]['error']:.3f} of the budget after {p.rounds} rounds", stacklevel=2)
     draw = F.pmod(F.xxhash64("id", "h", F.lit(p.seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     whole = F.floor("rate")
     return rated.withColumn("n_copies", (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("long"))
@@ -135,7 +151,7 @@ def lang_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op1_mixing(docs: DataFrame, labels: DataFrame, params: MixParams | None = None) -> DataFrame:
-    """doc_id, n_tokens, posterior, rate, n_copies: one row for each doc_id and text."""
+    """doc_id, n_tokens, posterior, rate, n_copies: one row for each doc_id and text; rows that repeat both share one. See mix()."""
     p = params or MixParams()
     names = sorted(p.targets)
     mixed = mix(docs, lang_labels(docs, labels), p)

@@ -214,7 +214,12 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def op10_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted."""
+    """One row per document: doc_id, held_out, score, predicted; rows that repeat a doc_id are scored row by row.
+
+    A null or empty text scores the model's bias alone. A score of exactly the threshold is predicted as 1. Of labelled rows with
+    equal hashes of doc_id those with the smaller doc_id are learned from; a doc_id with both labels counts for both, and one with
+    several texts by one of them. A null doc_id is not held out, and its labels aren't learned from.
+    """
     model = fit(docs, learnable(labels), params)
     scored = score(docs.select("doc_id", "text"), model, params)
     return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= params.threshold).cast("int").alias("predicted"))

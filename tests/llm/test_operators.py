@@ -720,11 +720,61 @@ def test_rates_match_a_dense_solution(spark):
     size = rng.integers(1, 500, 200)
     members = spark.createDataFrame([(i, int(n), *map(float, p)) for i, (n, p) in enumerate(zip(size, post))], "id long, n_tokens long, p0 double, p1 double, p2 double")
     p = mixing.MixParams(targets={"a": 0.7, "b": 0.2, "c": 0.1}, budget=float(size.sum()), rounds=200, tolerance=1e-7)
-    rate, record = mixing.fit_rates(members, p)
-    got = np.array([r[0] for r in members.orderBy("id").select(rate).collect()])
+    rated, record = mixing.fit_rates(members, p)
+    got = np.array([r["rate"] for r in rated.orderBy("id").collect()])
     reached = (got * size) @ post / size.sum()
     assert (got >= 0).all() and np.abs(reached - [0.7, 0.2, 0.1]).max() < 1e-5
     assert record[-1]["error"] <= record[0]["error"]
+    # the same steps on a dense matrix
+    a, r, wanted = (post * size[:, None]).T, np.ones(200), size.sum() * np.array([0.7, 0.2, 0.1])
+    natural = a @ r
+    for _ in range(len(record) - 1):
+        r = np.maximum(0, r - ((a @ r - wanted) / natural) @ post.T)
+    assert np.allclose(r, got, atol=1e-9) and np.allclose(a @ got, record[-1]["tokens"])
+    # without a budget nothing is left out, and the shares are kept
+    post = 0.98 * np.eye(3)[rng.integers(0, 3, 200)] + 0.02 * post
+    members = spark.createDataFrame([(i, int(n), *map(float, x)) for i, (n, x) in enumerate(zip(size, post))], members.schema)
+    rated, _ = mixing.fit_rates(members, mixing.MixParams(targets=p.targets))
+    got = np.array([x["rate"] for x in rated.orderBy("id").collect()])
+    totals = (got * size) @ post
+    assert got.min() >= 1 and np.abs(totals / totals.sum() - [0.7, 0.2, 0.1]).max() < 1e-4
+
+
+def test_posteriors_are_naive_bayes(spark, docs, rows):
+    """All words and all labelled rows, against a plain naive Bayes."""
+    import math
+
+    p = mixing.MixParams(targets={"de": 0.5, "en": 0.5}, rows_per_domain=10**6, vocabulary=10**5)
+    labels = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+    split = lambda t: [w for w in re.split(r"[^a-z]+", (t or "").lower()) if w]
+    learn = [(r[2], split(r[1])) for r in rows if r[0] is not None and r[0] < 60 and r[2] is not None]
+    marks = {(r[0], r[2]) for r in rows if r[0] is not None and r[0] < 60 and r[2] is not None}
+    seen = {d: Counter(w for x, ws in learn if x == d for w in ws) for d in ("de", "en")}
+    # a doc_id of two languages is learned from with all its texts for both
+    extra = [(d, split(r[1])) for r in rows for i, d in marks if r[0] == i and r[2] != d]
+    for d, ws in extra:
+        seen[d].update(ws)
+    repeats = Counter((r[0], r[2]) for r in rows if r[0] is not None and r[0] < 60)
+    vocabulary = set(seen["de"]) | set(seen["en"])
+    prior = {d: math.log((sum(x == d for _, x in marks) + 1) / (len(marks) + 2)) for d in seen}
+    out = mixing.op1_mixing(docs, labels, p).collect()
+    text = defaultdict(list)
+    for r in rows:
+        text[r[0]].append(r[1])
+    for r in out:
+        if len(set(text[r["doc_id"]])) > 1:
+            continue
+        words = [w for w in split(text[r["doc_id"]][0])]
+        known = [w for w in words if w in vocabulary]
+        z = {}
+        for d in seen:
+            total = sum(seen[d].values()) + 0.5 * p.vocabulary
+            z[d] = prior[d] + (p.sharpness * sum(math.log((seen[d][w] + 0.5) / total) for w in known) / len(known) if known else 0)
+        # rows that repeat a doc_id and its text are one document
+        n = len(words) * (1 if r["doc_id"] is None else Counter(x[0] for x in rows)[r["doc_id"]])
+        assert r["n_tokens"] == n
+        e = {d: math.exp(v - max(z.values())) for d, v in z.items()}
+        assert repeats is not None and all(abs(r["posterior"][d] - e[d] / sum(e.values())) < 1e-6 for d in seen)
 
 
 def thue_morse(n, a, b):
