@@ -1,28 +1,29 @@
 """The inclusion poset of vertices and hyperedges, and Forman-Ricci curvature on it.
 
-Members of the poset are named 'v<node>' and 'e<edge>'.
+Members of the poset are whole numbers, so that joins compare numbers: 2 * node for a vertex, 2 * edge + 1 for a hyperedge. named() gives
+their names 'v<node>' and 'e<edge>'.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyperweft.operators.incidence import degrees, hyperedges
+from hyperweft.operators.incidence import degrees, hyperedges, with_card
 from hyperweft.plans.storage import cut
 
 #: Larger hyperedges aren't expanded into pairs of nodes; they are found by single nodes.
 PAIR_CARD = 40
 
 
-def edge_containments(inc: DataFrame) -> DataFrame:
-    """(low, high, low_card, high_card): hyperedges that are strict subsets of larger ones.
+def edge_containments(inc: DataFrame, least: int = 1) -> DataFrame:
+    """(low, high, low_card, high_card): hyperedges of at least `least` nodes that are strict subsets of larger ones.
 
     An equi-join in place of the subset test: a subset meets its supersets on its two rarest nodes, which
     selects far better than one node, and is verified on the arrays. Sets of one node, and supersets with more than
     PAIR_CARD nodes, meet on the rarest node alone.
     """
-    ranked = inc.join(degrees(inc), "node")
+    ranked = (with_card(inc, least) if least > 1 else inc).join(degrees(inc), "node")
     e = ranked.groupBy("edge").agg(F.array_sort(F.collect_list(F.struct("degree", "node"))).alias("r"))
     e = e.select("edge", F.col("r.node").alias("by_rarity"), F.size("r").alias("card"), F.array_sort("r.node").alias("nodes"))
     low = e.select(F.col("edge").alias("low"), F.col("nodes").alias("low_nodes"), F.col("card").alias("low_card"), F.col("by_rarity")[0].alias("n1"), F.when(F.col("card") > 1, F.col("by_rarity")[1]).alias("n2"))
@@ -38,25 +39,57 @@ def edge_containments(inc: DataFrame) -> DataFrame:
     return found.filter(F.size(F.array_intersect("low_nodes", "high_nodes")) == F.col("low_card")).select("low", "high", "low_card", "high_card")
 
 
+def vertex(node="node") -> Column:
+    return 2 * F.col(node)
+
+
+def hyperedge(edge="edge") -> Column:
+    return 2 * F.col(edge) + 1
+
+
+def is_vertex(member: str) -> Column:
+    return F.col(member) % 2 == 0
+
+
+def named(df: DataFrame, *columns: str) -> DataFrame:
+    """df with names in place of members in columns."""
+    return df.withColumns({c: F.concat(F.when(is_vertex(c), "v").otherwise("e"), F.shiftright(c, 1).cast("string")) for c in columns})
+
+
+def _members(inc: DataFrame) -> DataFrame:
+    """(node, edge) of hyperedges of at least two nodes."""
+    return with_card(inc, 2).select("node", "edge")
+
+
 def containments(inc: DataFrame) -> DataFrame:
-    """(low, high) names of all strict containments among vertices and hyperedges."""
-    cards = inc.groupBy("edge").agg(F.count("*").alias("card")).filter("card > 1")
-    of_nodes = inc.join(cards, "edge").select(F.concat(F.lit("v"), "node").alias("low"), F.concat(F.lit("e"), "edge").alias("high"))
-    of_edges = edge_containments(inc).select(F.concat(F.lit("e"), "low").alias("low"), F.concat(F.lit("e"), "high").alias("high"))
-    return of_nodes.unionByName(of_edges)
+    """(low, high) of all strict containments among vertices and hyperedges."""
+    of_nodes = _members(inc).select(vertex().alias("low"), hyperedge().alias("high"))
+    return of_nodes.unionByName(edge_containments(inc).select(hyperedge("low").alias("low"), hyperedge("high").alias("high")))
+
 
+def covers(inc: DataFrame, vertices: Column | None = None) -> DataFrame:
+    """(low, high): the Hasse relation, containments with nothing in between.
 
-def covers(contained: DataFrame) -> DataFrame:
-    """The Hasse relation: containments with nothing in between. They are used three times, so they are written once."""
-    contained = cut(contained, "contained")
-    up = contained.select(F.col("low").alias("mid"), "high")
-    via = contained.select("low", F.col("high").alias("mid")).join(up, "mid").select("low", "high").distinct()
-    return contained.join(via, ["low", "high"], "left_anti")
+    What lies between two members is a hyperedge of at least two nodes, so only these are composed with each other. A vertex is covered by a
+    hyperedge that it is in, unless it is in one that the hyperedge covers; and so is a hyperedge of that node alone.
+    vertices: a condition on `node`, if not all vertices take part.
+    """
+    inside = cut(edge_containments(inc, 2).select("low", "high"), "contained")
+    via = inside.select("low", F.col("high").alias("mid")).join(inside.select(F.col("low").alias("mid"), "high"), "mid").select("low", "high").distinct()
+    of_edges = cut(inside.join(via, ["low", "high"], "left_anti"), "covers")
+    member = _members(inc)
+    held = of_edges.select(F.col("low").alias("edge"), "high").join(member, "edge").select("node", F.col("high").alias("edge"))
+    open_ = cut(member.join(held, ["node", "edge"], "left_anti"), "open")
+    single = inc.groupBy("edge").agg(F.count("*").alias("card"), F.min("node").alias("node")).filter("card = 1").select("node", F.col("edge").alias("single"))
+    found = (open_.filter(vertices) if vertices is not None else open_).select(vertex().alias("low"), hyperedge().alias("high"))
+    found = found.unionByName(open_.join(single, "node").select(hyperedge("single").alias("low"), hyperedge().alias("high")))
+    return found.unionByName(of_edges.select(hyperedge("low").alias("low"), hyperedge("high").alias("high")))
 
 
 def triangles(cover: DataFrame) -> DataFrame:
     """(i, j, k): chains of two covers."""
-    return cover.select(F.col("low").alias("i"), F.col("high").alias("j")).join(cover.select(F.col("low").alias("j"), F.col("high").alias("k")), "j").select("i", "j", "k")
+    upper = cover.filter(~is_vertex("low")).select(F.col("low").alias("j"), F.col("high").alias("k"))  # nothing is below a vertex
+    return cover.select(F.col("low").alias("i"), F.col("high").alias("j")).join(upper, "j").select("i", "j", "k")
 
 
 def poset_edges(cover: DataFrame) -> DataFrame:
@@ -80,20 +113,20 @@ def forman_edges(edges: DataFrame) -> DataFrame:
 
 def forman_graph(inc: DataFrame) -> DataFrame:
     """forman_edges of a hypergraph's poset, written once for those who use it more often."""
-    return cut(forman_edges(poset_edges(covers(containments(inc)))), "forman")
+    return cut(forman_edges(poset_edges(covers(inc))), "forman")
 
 
 def forman_nodes(curved: DataFrame) -> DataFrame:
-    """(name, curvature): the sum over the incident edges of every member of the poset."""
-    both = curved.select(F.col("u").alias("name"), "curvature").unionByName(curved.select(F.col("v").alias("name"), "curvature"))
-    return both.groupBy("name").agg(F.sum("curvature").alias("curvature"))
+    """(member, curvature): the sum over the incident edges of every member of the poset."""
+    both = curved.select(F.col("u").alias("member"), "curvature").unionByName(curved.select(F.col("v").alias("member"), "curvature"))
+    return both.groupBy("member").agg(F.sum("curvature").alias("curvature"))
 
 
 def forman_hyperedges(inc: DataFrame, curved: DataFrame | None = None) -> DataFrame:
     """(edge, curvature) of hyperedges with at least two nodes; others have no place above a vertex."""
     curved = curved if curved is not None else forman_graph(inc)
     cards = inc.groupBy("edge").agg(F.count("*").alias("card")).filter("card > 1")
-    sums = forman_nodes(curved).filter(F.col("name").startswith("e")).select(F.expr("cast(substring(name, 2) as bigint)").alias("edge"), "curvature")
+    sums = forman_nodes(curved).filter(~is_vertex("member")).select(F.shiftright("member", 1).alias("edge"), "curvature")
     return cards.select("edge").join(sums, "edge", "left").select("edge", F.coalesce("curvature", F.lit(0)).alias("curvature"))
 
 
@@ -101,23 +134,22 @@ def forman_vertices(inc: DataFrame, curved: DataFrame | None = None) -> DataFram
     """(node, curvature): the sum of the curvatures of a vertex's neighbours in the poset graph (two-step ones too)."""
     curved = curved if curved is not None else forman_graph(inc)
     sums = forman_nodes(curved)
-    near = curved.filter(F.col("u").startswith("v")).select("u", F.col("v").alias("name")).join(sums, "name")
-    out = near.groupBy("u").agg(F.sum("curvature").alias("curvature"))
-    named = inc.select(F.concat(F.lit("v"), "node").alias("u"), "node").distinct()
-    return named.join(out, "u", "left").select("node", F.coalesce("curvature", F.lit(0)).alias("curvature"))
+    near = curved.filter(is_vertex("u")).select(F.shiftright("u", 1).alias("node"), F.col("v").alias("member")).join(sums, "member")
+    out = near.groupBy("node").agg(F.sum("curvature").alias("curvature"))
+    return inc.select("node").distinct().join(out, "node", "left").select("node", F.coalesce("curvature", F.lit(0)).alias("curvature"))
 
 
 def without_members(edges: DataFrame, tri: DataFrame, removed: DataFrame) -> DataFrame:
-    """poset_edges after members removed(name) and all triangles on them are gone; tri: triangles()."""
-    gone = removed.select("name").distinct()
+    """poset_edges after removed(member) and all triangles on them are gone; tri: triangles()."""
+    gone = removed.select("member").distinct()
     left = tri = cut(tri, "triangles")
     for c in "ijk":
-        left = left.join(gone.withColumnRenamed("name", c), c, "left_anti")
+        left = left.join(gone.withColumnRenamed("member", c), c, "left_anti")
     sides = left.select(F.col("i").alias("u"), F.col("j").alias("v")).unionByName(left.select(F.col("j").alias("u"), F.col("k").alias("v"))).unionByName(left.select(F.col("i").alias("u"), F.col("k").alias("v")))
     counts = sides.groupBy("u", "v").agg(F.count("*").alias("tri"))
     kept = edges.select("u", "v")
     for c in "uv":
-        kept = kept.join(gone.withColumnRenamed("name", c), c, "left_anti")
+        kept = kept.join(gone.withColumnRenamed("member", c), c, "left_anti")
     return kept.join(counts, ["u", "v"], "left").select("u", "v", F.coalesce("tri", F.lit(0)).alias("tri"))
 
 
@@ -134,12 +166,9 @@ def forman_vertices_positional(inc: DataFrame, n: int) -> DataFrame:
 
 def forman_vertices_keeping(inc: DataFrame, n: int) -> DataFrame:
     """Vertices outside 1 to n are left out of the poset; hyperedges keep them as members."""
-    contained = containments(inc)
-    inside = contained.filter(~F.col("low").startswith("v") | F.expr("cast(substring(low, 2) as bigint)").between(1, n))
-    return forman_vertices(positional(inc, n), cut(forman_edges(poset_edges(covers(inside))), "forman"))
+    return forman_vertices(positional(inc, n), cut(forman_edges(poset_edges(covers(inc, F.col("node").between(1, n)))), "forman"))
 
 
 def edges_with_keys(inc: DataFrame) -> DataFrame:
-    """(name, key, card): the bijection between members of the poset and hyperedges."""
-    e = hyperedges(inc)
-    return e.select(F.concat(F.lit("e"), "edge").alias("name"), "key", "card")
+    """(name, key, card): the bijection between hyperedges in the poset and their nodes, to be read either way."""
+    return named(hyperedges(inc).select(hyperedge().alias("name"), "key", "card"), "name")

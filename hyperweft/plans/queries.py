@@ -163,8 +163,12 @@ CONTAINS = CARDS + """, sub AS (
   SELECT a.edge AS low, b.edge AS high, a.card AS low_card, b.card AS high_card FROM ic a JOIN ic b ON a.node = b.node AND a.card < b.card
   GROUP BY ALL HAVING count(*) = a.card),
 contained AS (SELECT 'v' || node AS low, 'e' || edge AS high FROM ic WHERE card > 1 UNION ALL SELECT 'e' || low, 'e' || high FROM sub)"""
-COVERS = CONTAINS + """, covers AS (
-  SELECT low, high FROM contained EXCEPT SELECT a.low, b.high FROM contained a JOIN contained b ON a.high = b.low),
+COVERS = CONTAINS + """, proper AS MATERIALIZED (SELECT low, high FROM sub WHERE low_card > 1),
+pcov AS MATERIALIZED (SELECT low, high FROM proper EXCEPT SELECT a.low, b.high FROM proper a JOIN proper b ON a.high = b.low),
+held AS (SELECT node, high AS edge FROM pcov JOIN inc ON inc.edge = pcov.low),
+free AS MATERIALIZED (SELECT node, edge FROM ic WHERE card > 1 EXCEPT SELECT node, edge FROM held),
+covers AS MATERIALIZED (SELECT 'e' || low AS low, 'e' || high AS high FROM pcov UNION ALL SELECT 'v' || node, 'e' || edge FROM free
+  UNION ALL SELECT 'e' || s.edge, 'e' || free.edge FROM free JOIN (SELECT edge, node FROM ic WHERE card = 1) s ON s.node = free.node),
 tri AS (SELECT a.low AS i, a.high AS j, b.high AS k FROM covers a JOIN covers b ON a.high = b.low),
 pe AS (SELECT low AS u, high AS v FROM covers UNION SELECT i, k FROM tri),
 sides AS (SELECT i AS u, j AS v FROM tri UNION ALL SELECT j, k FROM tri UNION ALL SELECT i, k FROM tri),
@@ -182,17 +186,17 @@ def _(s, d):
 
 @query("poset_covers", "SELECT low, high FROM covers", "supply", COVERS)
 def _(s, d):
-    return poset.covers(poset.containments(view(s, d, "supply")))
+    return poset.named(poset.covers(view(s, d, "supply")), "low", "high")
 
 
 @query("poset_triangles", "SELECT i, j, k FROM tri", "supply", COVERS)
 def _(s, d):
-    return poset.triangles(cut(poset.covers(poset.containments(view(s, d, "supply")))))
+    return poset.named(poset.triangles(cut(poset.covers(view(s, d, "supply")))), "i", "j", "k")
 
 
 @query("poset_edges", "SELECT u, v, tri FROM pt", "supply", COVERS)
 def _(s, d):
-    return poset.poset_edges(poset.covers(poset.containments(view(s, d, "supply"))))
+    return poset.named(poset.poset_edges(poset.covers(view(s, d, "supply"))), "u", "v")
 
 
 def _forman(s, d, name="supply") -> tuple[DataFrame, DataFrame]:
@@ -202,7 +206,7 @@ def _forman(s, d, name="supply") -> tuple[DataFrame, DataFrame]:
 
 @query("forman_edge", "SELECT u, v, CAST(f AS BIGINT) AS curvature FROM fe", "supply", FORMAN)
 def _(s, d):
-    return _forman(s, d)[1]
+    return poset.named(_forman(s, d)[1], "u", "v")
 
 
 @query("forman_hyperedge", "SELECT edge, coalesce(f, 0) AS curvature FROM cards LEFT JOIN fn ON n = 'e' || edge WHERE card > 1", "supply", FORMAN)
@@ -227,9 +231,9 @@ SELECT pt.u, pt.v, coalesce(ls.tri, 0) AS tri FROM pt LEFT JOIN ls ON pt.u = ls.
 )
 def _(s, d):
     inc = view(s, d, "supply")
-    cover = cut(poset.covers(poset.containments(inc)))
-    gone = incidence.with_card(inc, 6).select(F.concat(F.lit("e"), "edge").alias("name"))
-    return poset.without_members(poset.poset_edges(cover), poset.triangles(cover), gone)
+    cover = cut(poset.covers(inc))
+    gone = incidence.with_card(inc, 6).select(poset.hyperedge().alias("member"))
+    return poset.named(poset.without_members(poset.poset_edges(cover), poset.triangles(cover), gone), "u", "v")
 
 
 # --- dual networks ------------------------------------------------------------------------------------------------

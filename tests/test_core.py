@@ -39,13 +39,13 @@ def test_forman(spark):
 
 def test_forman_with_inclusion(spark):
     inc = inc_of(spark, TOY)
-    cover = cut(poset.covers(poset.containments(inc)))
+    cover = cut(poset.covers(inc))
     up = defaultdict(set)
-    for r in cover.collect():
+    for r in poset.named(cover, "low", "high").collect():
         up[r["low"]].add(r["high"])
     want = {1: {0, 3}, 2: {1, 5}, 3: {1, 2}, 4: {0, 3}, 5: {0, 2, 5}, 6: {2, 4}, 7: {2, 3, 4}, 8: {4, 5}}
     assert up == {f"v{k}": {f"e{x}" for x in v} for k, v in want.items()} | {"e1": {"e0"}}
-    assert {tuple(r) for r in poset.triangles(cover).collect()} == {("v2", "e1", "e0"), ("v3", "e1", "e0")}
+    assert {tuple(r) for r in poset.named(poset.triangles(cover), "i", "j", "k").collect()} == {("v2", "e1", "e0"), ("v3", "e1", "e0")}
     assert poset.poset_edges(cover).count() == 21
     assert as_dict(poset.forman_hyperedges(inc), "edge") == {0: -16, 1: 3, 2: -11, 3: -4, 4: -4, 5: -5}
     assert as_dict(poset.forman_vertices(inc), "node") == {1: -20, 2: -18, 3: -24, 4: -20, 5: -32, 6: -15, 7: -19, 8: -9}
@@ -71,8 +71,8 @@ def test_containments_by_brute_force(spark):
 
 def test_removal_from_the_poset(spark):
     inc = inc_of(spark, TOY)
-    cover = cut(poset.covers(poset.containments(inc)))
-    left = poset.without_members(poset.poset_edges(cover), poset.triangles(cover), spark.createDataFrame([("e1",)], "name string"))
+    cover = cut(poset.covers(inc))
+    left = poset.named(poset.without_members(poset.poset_edges(cover), poset.triangles(cover), spark.createDataFrame([(3,)], "member long")), "u", "v")
     assert left.filter("tri > 0").count() == 0 and left.count() == 21 - 3
 
 
