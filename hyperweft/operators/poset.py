@@ -32,11 +32,17 @@ def edge_containments(inc: DataFrame, least: int = 1) -> DataFrame:
     pairs = high.filter((F.col("high_card") > 2) & (F.col("high_card") <= PAIR_CARD)).select("*", F.posexplode("high_nodes").alias("i", "a"))
     pairs = pairs.select("high", "high_nodes", "high_card", "a", F.explode(F.expr("slice(high_nodes, i + 2, greatest(high_card - i - 1, 0))")).alias("b"))
     by_pair = low.filter("low_card > 1").join(pairs, ["a", "b"])
-    single = high.select("high", "high_nodes", "high_card", F.explode("high_nodes").alias("n1"))
-    by_node = low.join(single, "n1").filter((F.col("low_card") == 1) | (F.col("high_card") > PAIR_CARD))
+    # each filter is on one side, so that it holds before the join
+    large = high.filter(F.col("high_card") > PAIR_CARD).select("high", "high_nodes", "high_card", F.explode("high_nodes").alias("n1"))
+    by_node = low.filter("low_card > 1").join(large, "n1")
     columns = ["low", "high", "low_nodes", "high_nodes", "low_card", "high_card"]
     found = by_pair.select(*columns).unionByName(by_node.select(*columns)).filter("low_card < high_card")
-    return found.filter(F.size(F.array_intersect("low_nodes", "high_nodes")) == F.col("low_card")).select("low", "high", "low_card", "high_card")
+    found = found.filter(F.size(F.array_intersect("low_nodes", "high_nodes")) == F.col("low_card")).select("low", "high", "low_card", "high_card")
+    if least > 1:
+        return found
+    # a hyperedge of one node is in all larger ones that hold it
+    alone = low.filter("low_card = 1").select("low", "low_card", F.col("n1").alias("node"))
+    return found.unionByName(alone.join(with_card(inc, 2).select(F.col("edge").alias("high"), "node", F.col("card").alias("high_card")), "node").select("low", "high", "low_card", "high_card"))
 
 
 def vertex(node="node") -> Column:
