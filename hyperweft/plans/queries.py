@@ -720,3 +720,6 @@ def _(s, d):
 @query("letter_labels", "SELECT n_nationkey AS k, chr(CAST(65 + n_nationkey AS INTEGER)) AS letter, chr(CAST(65 + (n_nationkey + 26) // 26 - 1 AS INTEGER)) || chr(CAST(65 + n_nationkey % 26 AS INTEGER)) AS later FROM nation")
 def _(s, d):
     return table(s, d, "nation").select(F.col("n_nationkey").alias("k"), stats.letter_label(F.col("n_nationkey")).alias("letter"), stats.letter_label(F.col("n_nationkey") + 26).alias("later"))
+
+
+from hyperweft.plans import more_queries  # noqa: E402, F401  registers its queries

@@ -36,6 +36,26 @@ def write_dual(duals: DataFrame, edges: DataFrame, path: str) -> None:
     j.select((F.col("card") - 1).alias("k"), F.concat_ws(":", "t1", "t2").alias("value")).write.mode("overwrite").partitionBy("k").text(path)
 
 
+def write_dual_nodes(edges: DataFrame, path: str) -> None:
+    """Distinct hyperedges as '[a, b]' lines in one folder for each k = card - 1."""
+    e = edges.dropDuplicates(["key"])
+    e.select((F.col("card") - 1).alias("k"), F.concat(F.lit("["), F.array_join(F.col("nodes").cast("array<string>"), ", "), F.lit("]")).alias("value")).write.mode("overwrite").partitionBy("k").text(path)
+
+
+def write_keys(keyed: DataFrame, path: str) -> None:
+    """'name : a,b,c' lines of keyed(name, key), the bijection between members of the poset and hyperedges."""
+    write_lines(keyed, path, F.concat_ws(" : ", "name", "key"), [F.col("name")])
+
+
+def write_poset(nodes: DataFrame, cover: DataFrame, tri: DataFrame, folder: str, name: str) -> None:
+    """A poset as the files nodes, cardinality, edges and triangles: nodes(id, card), all edges (u, v) of cover and of tri's two steps, and tri(i, j, k)."""
+    write_lines(nodes, f"{folder}/nodes/{name}.txt", F.col("id").cast("string"), [F.col("id")])
+    write_lines(nodes, f"{folder}/cardinality/{name}.txt", F.col("card").cast("string"), [F.col("id")])
+    edges = cover.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(tri.select(F.col("i").alias("u"), F.col("k").alias("v"))).distinct()
+    write_lines(edges, f"{folder}/edges/{name}.txt", F.concat_ws("\t", "u", "v"))
+    write_lines(tri, f"{folder}/triangles/{name}.txt", F.concat_ws("\t", "i", "j", "k"))
+
+
 def write_hypergraph(hyperedges: DataFrame, path: str) -> None:
     """Tab-separated hyperedges in the order of their ids, as other programs read them."""
     write_lines(hyperedges, path, F.array_join(F.col("nodes").cast("array<string>"), "\t"), [F.col("edge")])

@@ -96,7 +96,7 @@ def _bracketed(value) -> F.Column:
 
 def read_dual(spark: SparkSession, nodes_path: str, edges_path: str | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(k, nodes, card) and (k, n1, n2) of saved dual networks: '[a, b]' and '[a, b]:[b, c]' lines; k is read off the file's name, card off the sets."""
-    k = F.regexp_extract("file", r"_k(\d+)", 1).cast("int").alias("k")
+    k = F.regexp_extract("file", r"[_/]k=?(\d+)", 1).cast("int").alias("k")
     nodes = lines(spark, nodes_path).filter("trim(value) <> ''").select(k, F.array_sort(_bracketed(F.col("value"))).alias("nodes"))
     nodes = nodes.select("k", "nodes", F.size("nodes").alias("card"))
     if edges_path is None:
@@ -108,7 +108,31 @@ def read_dual(spark: SparkSession, nodes_path: str, edges_path: str | None = Non
 
 def cardinalities(spark: SparkSession, path: str) -> DataFrame:
     """(k, n_rows) of the dual files under a path."""
-    return lines(spark, path).filter("trim(value) <> ''").groupBy(F.regexp_extract("file", r"_k(\d+)", 1).cast("int").alias("k")).agg(F.count("*").alias("n_rows"))
+    return lines(spark, path).filter("trim(value) <> ''").groupBy(F.regexp_extract("file", r"[_/]k=?(\d+)", 1).cast("int").alias("k")).agg(F.count("*").alias("n_rows"))
+
+
+def read_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(name, key) of a key file."""
+    p = F.split("value", " : ")
+    return lines(spark, path).filter("trim(value) <> ''").select(p[0].alias("name"), p[1].alias("key"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def missing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of paths that don't exist or are empty."""
+    return [p for p in paths if not exists(spark, p) or spark.read.text(p).isEmpty()]
+
+
+def ensured(spark: SparkSession, path: str, build) -> str:
+    """The path, which build(path) makes if it is missing."""
+    if missing(spark, [path]):
+        build(path)
+    return path
 
 
 def resolve(name: str, paths: list[str]) -> str:

@@ -81,3 +81,28 @@ def test_config_and_names(write):
     assert text.resolve("A", ["b/a.txt", "c/A.txt"]) == "c/A.txt" and text.resolve("B.csv", ["x/b.txt"]) == "x/b.txt"
     with pytest.raises(FileNotFoundError):
         text.resolve("z", [])
+
+
+def test_command_lines(spark, tmp_path):
+    """Both commands on a small hypergraph whose curvatures are known."""
+    from hyperweft.__main__ import main
+
+    star = ["1 2 3 4", "1 5", "1 6", "2 7", "2 8", "3 9", "3 10", "4 11", "4 12"]
+    (tmp_path / "edges.txt").write_text("\n".join(star) + "\n")
+    (tmp_path / "labels.txt").write_text("\n".join("a" if k < 7 else "b" for k in range(1, 13)) + "\n")
+    for name in ("Forman", "OR_MMOT"):
+        out = tmp_path / name
+        (tmp_path / "c.yaml").write_text(f"data: {{hyperedges: {tmp_path}/edges.txt, labels: {tmp_path}/labels.txt, output: {out}}}\nmodel: {{measure: {name}, number_of_target_cluster: 2, max_iterations: 3}}\n")
+        main(["measure", str(tmp_path / "c.yaml")], spark)
+        curved = {r["key"]: r["value"] for r in text.read_curvature(spark, str(out / "hyperedge.txt")).collect()}
+        assert len(curved) == 9 and math.isclose(curved["1,2,3,4"], {"Forman": -12, "OR_MMOT": 0.6631082935304122}[name], rel_tol=1e-9)
+        assert text.read_curvature(spark, str(out / "node.txt")).count() == 12
+        main(["cluster", str(tmp_path / "c.yaml")], spark)
+        clusters = text.read_clusters(spark, str(out / "clusters.txt")).collect()
+        assert {r["node"] for r in clusters} == set(range(1, 13)) and {r["truth"] for r in clusters} == {"a", "b"}
+        # one hyperedge goes before the rule is looked at
+        assert 1 <= text.read_removals(spark, str(out / "removals.txt")).count() <= 3
+        assert "modularity" in {r["key"] for r in text.read_curvature(spark, str(out / "scores.txt")).collect()}
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "c.yaml").write_text(f"data: {{hyperedges: {tmp_path}/none.txt, output: {tmp_path}}}\n")
+        main(["measure", str(tmp_path / "c.yaml")], spark)
