@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 
 from hyperweft.llm.common import BROADCAST_BYTES, FOLD, SPACES, hashed_words, id_back, id_key, join_hot, materialize, mix, shingles, slices, text_bytes, text_names
 from hyperweft.operators.graph import components
+from hyperweft.plans.storage import numbered
 
 #: Classes that a task compares with each other, or with as many others.
-BLOCK = 400
+BLOCK = 800
 #: Classes of a trie node up to which its pairs are compared by sketches.
 NODE = 400
 #: Estimates may be this many standard deviations too low: one pair of 3 million at the threshold.
@@ -305,21 +306,10 @@ def placed_classes(classes: DataFrame, found: DataFrame, p: NearParams) -> tuple
     # the first trie's label is at the front, and the rest of it after all prefixes
     large = large.select("cluster", F.substring("label", 1, 8).alias("a"), F.substring("label", 8 * p.trees + 1, 8).alias("b"), "class")
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        block, filled, last = TaskContext.get().partitionId() << 32, 0, None
-        for b in batches:
-            out = []
-            for c in b.column(0).to_pylist():
-                if last is not None and (c != last or filled == BLOCK):
-                    block, filled = block + 1, 0
-                last, filled = c, filled + 1
-                out.append(block)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.int64()), b.column(0)], ["class", "block", "cluster"])
-
-    order = ["cluster", "a", "b", "class"]
-    cut = materialize(large.repartitionByRange(*order).sortWithinPartitions(*order).select("cluster", "class").mapInArrow(number, "class long, block long, cluster long"), "blocks")
+    # of BLOCK classes each, whatever the partitions; where two pieces meet a block may hold some of both, which are compared then
+    order = [F.col(c) for c in ("cluster", "a", "b", "class")]
+    cut = numbered(large, order, "at").select("class", "cluster", F.floor((F.col("at") - 1) / BLOCK).cast("long").alias("block"))
+    cut = materialize(cut, "blocks")
     # a node's classes may be in several pieces, which never meet
     where = found.select("tree", "prefix", "class").join(cut, "class").select("tree", "prefix", "cluster", "block").distinct()
     where = materialize(where, "where")
