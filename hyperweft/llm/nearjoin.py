@@ -32,7 +32,7 @@ from hyperweft.operators.graph import components
 from hyperweft.plans.storage import numbered
 
 #: Classes that a task compares with each other, or with as many others.
-BLOCK = 800
+BLOCK = 400
 #: Classes of a trie node up to which its pairs are compared by sketches.
 NODE = 400
 #: Estimates may be this many standard deviations too low: one pair of 3 million at the threshold.
