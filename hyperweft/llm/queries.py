@@ -64,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_substring_dedup": substring.OP7_SQL,
     "op9_exact_dedup": exactdedup.OP9_SQL,
 }

@@ -295,3 +295,16 @@ def op7_substring_dedup(docs: DataFrame, params: SubstringParams = SubstringPara
 
     out = joined.mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string")
     return out.select(id_back(F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+placed AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w),
+win AS (SELECT doc_id, p, array_to_string(list_slice(ws, p, p + 49), ' ') AS k FROM placed WHERE p + 49 <= len(ws)),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+rep AS (SELECT doc_id, p FROM win JOIN least USING (k) WHERE m < doc_id),
+cov AS (SELECT DISTINCT doc_id, p + o AS p FROM rep, range(0, 50) r(o)),
+kept AS (SELECT a.doc_id, string_agg(a.ws[a.p], ' ' ORDER BY a.p) AS t, count(*) AS n FROM placed a LEFT JOIN cov c ON a.doc_id = c.doc_id AND a.p = c.p WHERE c.p IS NULL GROUP BY a.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
