@@ -21,24 +21,29 @@ from hyperweft.llm.common import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold, row by row; null and empty texts score the model's bias. Without labels nothing goes."""
     params = toxicity.ToxicityParams()
     model = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")), params)
     return toxicity.score(docs, model, params, "__hw_toxicity").filter(F.col("__hw_toxicity") < params.threshold).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates or copies, that with the smallest doc_id; texts without words all stay."""
     return nearjoin.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item; null and empty texts stay, and all do if there are no items."""
     return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rates say, by languages that the labelled documents teach; empty tables give no rows."""
     return mixing.mixed_documents(docs, mixing.lang_labels(docs, table(spark, sf_dir, "labels")))
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, packed into shards and read back: a row for each row of docs, in the order of doc_id (null first)."""
     return tokens.op2_token_ids(docs)
 
 
