@@ -17,7 +17,7 @@ from hyperweft.plans.storage import BROADCAST_BYTES
 
 @dataclass(frozen=True)
 class TransportParams:
-    """solver: 'ibp', or 'lp' where the support has at most lp_support nodes (a failure falls back to 'ibp' unless lp_strict)."""
+    """solver: 'ibp', or 'lp' where the support has at most lp_support nodes, and a failure falls back to 'ibp'; with lp_strict the programme is solved whatever its size, and failures are raised."""
 
     alpha: float = 0.01
     reg: float = 0.1
@@ -158,7 +158,7 @@ class Local:
         if (np.abs(total - 1.0) > 1e-9).any():
             mass /= np.maximum(total, 1e-300)
         method, found = "ibp", None
-        if p.solver == "lp" and len(at) <= p.lp_support and not (block == FAR).any():
+        if p.solver == "lp" and (p.lp_strict or len(at) <= p.lp_support) and not (block == FAR).any():
             try:
                 found, method = exact_barycentre(mass, block.astype(float)) | {"rounds": 0, "gap": 0.0}, "lp"
             except ValueError:
