@@ -476,6 +476,52 @@ def test_language_id(docs, rows, none):
     assert langid.op4_language_id(none).count() == 0
 
 
+def test_language_predictions_by_brute_force(docs, rows):
+    p = langid.LanguageParams(dim=256)
+    drawn = {}
+
+    def vector(c):
+        if c not in drawn:
+            drawn[c] = np.random.default_rng((p.seed, ord(c))).integers(0, 2, p.dim, dtype=np.int8).astype(int) * 2 - 1
+        return drawn[c]
+
+    def profile(text):
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        if not letters:
+            return None
+        grams = Counter(zip(*((" " + " ".join(letters) + " ")[k:] for k in range(3)), strict=False))
+        v = sum(n * np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c) for (a, b, c), n in grams.items())
+        return v / np.linalg.norm(v)
+
+    def held(i):
+        return i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+
+    sums = {}
+    for r in rows:
+        if r[2] is not None and not held(r[0]) and (v := profile(r[1])) is not None:
+            sums[r[2]] = sums.get(r[2], 0) + v
+    langs = sorted(sums)
+    protos = np.array([sums[n] / np.linalg.norm(sums[n]) for n in langs])
+    want = defaultdict(list)
+    for r in rows:
+        if (v := profile(r[1])) is None:
+            want[r[0]].append(("und", 0.0, 1.0))
+            continue
+        cosines = protos @ v
+        e = np.exp(p.sharpness * cosines)
+        want[r[0]].append((langs[cosines.argmax()], e.max() / e.sum(), np.ptp(cosines)))
+    out = defaultdict(list)
+    for r in langid.op4_language_id(docs, p).collect():
+        assert r["held_out"] == held(r["doc_id"])
+        out[r["doc_id"]].append((r["lang_pred"], r["score"]))
+    assert out.keys() == want.keys()
+    for i, found in out.items():
+        assert len(found) == len(want[i])
+        for (lang, score), (name, share, apart) in zip(sorted(found), sorted(want[i]), strict=True):
+            assert abs(score - share) < 1e-3, i
+            assert lang == name or apart < 1e-5, i
+
+
 def test_bound_ngrams_add_up():
     p = langid.LanguageParams(dim=256)
     profile = langid.Profiler(p)
@@ -691,6 +737,79 @@ def test_toxicity(spark, rows, docs, none):
     assert toxicity.op10_toxicity(none, labels).count() == 0
 
 
+def plain_subwords(word, p):
+    """Table rows of a word's n-grams and of the word itself, a character at a time."""
+    marked, low = f"<{word}>", 2**64 - 1
+    hashes = []
+    for n in range(p.shortest, p.longest + 1):
+        for i in range(len(marked) - n + 1):
+            h = 0
+            for c in marked[i : i + n]:
+                h = h * 1_000_003 + ord(c)
+            hashes.append(h * 0x9E3779B97F4A7C15 + n)
+    hashes.append(sum(ord(c) * 0xD6E8FEB86659FD93 ** (i + 1) for i, c in enumerate(marked)))
+    return [((((h & low) ^ ((h & low) >> 29)) * 0xBF58476D1CE4E5B9) & low) * p.buckets >> 64 for h in hashes]
+
+
+def plain_training(texts, labels, p):
+    """The weights and bias that softmax and table give, a document at a time."""
+    rng = np.random.default_rng(p.seed)
+    table = rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim))
+    soft, bias = rng.normal(0, 1, (p.dim, 2)), np.zeros(2)
+    seen_t, seen_s, seen_b = np.full(p.buckets, 1e-8), np.full((p.dim, 2), 1e-8), np.full(2, 1e-8)
+    bags = [[r for w in re.findall(r"\w+", (t or "").lower()) for r in plain_subwords(w, p)] for t in texts]
+    keep = np.array([i for i, b in enumerate(bags) if b])
+    for _ in range(p.epochs):
+        rng.shuffle(keep)
+        for at in range(0, len(keep), p.batch):
+            picked = keep[at : at + p.batch]
+            g_table, g_soft, g_bias = defaultdict(lambda: np.zeros(p.dim)), np.zeros_like(soft), np.zeros(2)
+            for i in picked:
+                mean = table[bags[i]].mean(0)
+                e = np.exp(mean @ soft + bias)
+                g = (e / e.sum() - np.eye(2)[labels[i]]) / len(picked) * 8
+                for r in bags[i]:
+                    g_table[r] += soft @ g / len(bags[i])
+                g_soft += np.outer(mean, g)
+                g_bias += g
+            for r, g in g_table.items():
+                seen_t[r] += (g**2).mean()
+                table[r] -= p.rate * g / np.sqrt(seen_t[r])
+            seen_s += g_soft**2
+            soft -= 0.1 * g_soft / np.sqrt(seen_s)
+            seen_b += g_bias**2
+            bias -= 0.1 * g_bias / np.sqrt(seen_b)
+    known = sorted({r for b in bags for r in b})
+    weights = np.zeros(p.buckets)
+    weights[known] = (table @ (soft[:, 1] - soft[:, 0]))[known]
+    return weights, bias[1] - bias[0]
+
+
+def test_toxicity_training_by_brute_force():
+    rng = random.Random(4)
+    p = toxicity.ToxicityParams(buckets=1 << 10, epochs=3, batch=4)
+    texts = [" ".join(word(rng) for _ in range(rng.randrange(1, 9))) + (" grobnak" if i % 3 == 0 else "") for i in range(22)] + ["", None, "é Grobnak, grobnak"]
+    labels = np.array([int(i % 3 == 0) for i in range(22)] + [0, 1, 1])
+    weights, bias = toxicity.train(texts, labels, p)
+    want, base = plain_training(texts, labels, p)
+    assert abs(bias - base) < 1e-3 and np.abs(weights - want).max() < 1e-3
+
+
+def test_toxicity_scores_by_brute_force(spark, docs, rows):
+    p = toxicity.ToxicityParams(buckets=1 << 12, epochs=2)
+    labels = spark.createDataFrame([(r[0], int(r[2] == "de")) for r in rows if r[0] is not None and r[0] < 1000], "doc_id long, toxic int").distinct()
+    weights, bias = toxicity.fit(docs, toxicity.learnable(labels), p)
+    memo, want = {}, []
+    for r in rows:
+        words = re.findall(r"\w+", (r[1] or "").lower())
+        bag = np.concatenate([memo.setdefault(w, weights[plain_subwords(w, p)].astype(float)) for w in words]) if words else np.zeros(1)
+        want.append((key(r[0]), 1 / (1 + np.exp(-(bag.mean() + bias)))))
+    out = toxicity.score(docs.select("doc_id", "text"), (weights, bias), p).collect()
+    found = sorted((key(r["doc_id"]), r["toxicity"]) for r in out)
+    assert [i for i, _ in found] == sorted(i for i, _ in want)
+    assert np.allclose([x for _, x in found], [x for _, x in sorted(want)], atol=1e-6)
+
+
 def test_mixing(spark, docs, rows, none):
     labels = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
     p = mixing.MixParams(targets={"en": 0.5, "de": 0.5}, sharpness=1.0)
