@@ -1,4 +1,9 @@
-"""Curvatures from optimal transport: multi-marginal barycentres, dual networks, and pairs of nodes."""
+"""Curvatures from optimal transport: multi-marginal barycentres, dual networks, and pairs of nodes.
+
+A hypergraph of up to BROADCAST_BYTES of incidences is held by every worker. Of a larger one, joins bring each hyperedge its own
+neighbourhood, once for all hyperedges with the same nodes; the results are the same. A neighbourhood has to fit in a task, as
+the kernels work on matrices of its nodes.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 
 from hyperweft.functions.kernels import FAR, Adjacency, barycentre, exact_barycentre, sinkhorn, transport, wasserstein
 from hyperweft.operators.incidence import cooccurrence, hyperedges, node_pairs, with_card
-from hyperweft.plans.storage import BROADCAST_BYTES
+from hyperweft.plans.storage import BROADCAST_BYTES, cut
 
 
 @dataclass(frozen=True)
@@ -61,11 +66,11 @@ def supports(inc: DataFrame, measure: DataFrame, lazy: bool = False) -> DataFram
     return member.unionByName(near).unionByName(walked).distinct()
 
 
-def _packed(inc: DataFrame) -> tuple[bytes, int]:
+def _packed(inc: DataFrame) -> tuple[bytes, int] | None:
     """The incidences as bytes, for kernels, if they are within the broadcast bound."""
     n = inc.count()
     if 16 * n > BROADCAST_BYTES:
-        raise ValueError(f"{n} incidences are more than a kernel may hold: split the hypergraph by hypergraph_components() first")
+        return None
     t = inc.select("edge", "node").toArrow()
     return np.stack([t.column("edge").to_numpy(), t.column("node").to_numpy()]).astype(np.int64).tobytes(), n
 
@@ -117,6 +122,9 @@ class Local:
             self._measures[node] = out
         return self._measures[node]
 
+    def distances(self, at: np.ndarray, radius: int) -> np.ndarray:
+        return self.graph.block(at, radius)
+
     def support(self, members: list[int]) -> np.ndarray:
         near = [self.graph.levels(int(s), 2)[0] for s in self.graph.index(members)]
         found, times = np.unique(np.concatenate(near), return_counts=True)
@@ -139,7 +147,7 @@ class Local:
         if len(members) <= 1:
             return out
         at = self.support(members)
-        block = self.graph.block(at, p.radius)
+        block = self.distances(at, p.radius)
         own = np.searchsorted(at, self.graph.index(members))
         if p.radius < 5 and (block == FAR).any():
             part = _parts(block != FAR)
@@ -171,7 +179,9 @@ class Local:
 
     def pairwise(self, k: int, dispersion: str, aggregation: str, reg: float | None = None) -> float:
         """1 - the mean (or largest) transport distance over pairs of members; entropic if reg is given."""
-        members = self.members(k).tolist()
+        return self.among(self.members(k).tolist(), dispersion, aggregation, reg)
+
+    def among(self, members: list[int], dispersion: str, aggregation: str, reg: float | None = None) -> float:
         if len(members) < 2:
             return float("nan")
         found = [self._distance(a, b, dispersion, reg) for i, a in enumerate(members) for b in members[i + 1 :]]
@@ -185,7 +195,7 @@ class Local:
                 self._distances.clear()
             p, q = self.dispersed(a, dispersion), self.dispersed(b, dispersion)
             at = self.graph.index(sorted({*p, *q}))
-            block = self.graph.block(at, 5)
+            block = self.distances(at, 5)
             label = {x: i for i, x in enumerate(self.graph.labels[at].tolist())}
             if reg is None:
                 found = wasserstein(p, q, lambda x, y: block[label[x], label[y]])
@@ -210,6 +220,68 @@ class Local:
         return {node: self.p.alpha} | {o: (1 - self.p.alpha) * c / total for o, c in counts.items()} if total else {node: 1.0}
 
 
+class Piece(Local):
+    """The neighbourhood of one hyperedge: neighbours of all nodes within some hops of its members, and the members' walks.
+
+    Distances that it doesn't show are the largest ones possible: supports lie within two hops of the members in
+    barycentres (5 apart at most) and within one in pairs (3), and all shorter paths go through nodes whose neighbours are known.
+    """
+
+    def __init__(self, local: list[dict], p: TransportParams, far: int):
+        self.p, self.far, self._distances = p, far, {}
+        self._walks = {r["x"]: r["walk"] for r in local if r["walk"]}
+        u = np.repeat([r["x"] for r in local], [len(r["near"]) for r in local]).astype(np.int64)
+        v = np.array([y for r in local for y in r["near"]], dtype=np.int64)
+        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+        self.graph = Adjacency(pairs[0], pairs[1], np.array([r["x"] for r in local], dtype=np.int64))
+
+    def distances(self, at: np.ndarray, radius: int) -> np.ndarray:
+        block = self.graph.block(at, radius)
+        return np.minimum(block, self.far) if radius >= self.far else block
+
+    def measure(self, node: int) -> dict[int, float]:
+        walk = self._walks[node]
+        if any(x["mass"] is None for x in walk):
+            raise ValueError(f"node {node} is the only node of a hyperedge: its measure isn't defined")
+        return {x["dst"]: x["mass"] for x in walk}
+
+    def dispersed(self, node: int, dispersion: str) -> dict[int, float]:
+        return self.measure(node)
+
+
+def dispersed_walks(inc: DataFrame, dispersion: str, alpha: float) -> DataFrame:
+    """(src, dst, mass): star, clique or weighted_clique; a null mass marks nodes whose star isn't defined, as a hyperedge holds them alone."""
+    if dispersion == "star":
+        alone = with_card(inc).filter("card = 1").select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(None).cast("double").alias("mass"))
+        return node_measure(inc, alpha).unionByName(alone.distinct())
+    pairs = cooccurrence(inc).withColumn("w", F.lit(1.0) if dispersion == "clique" else F.col("w").cast("double"))
+    both = pairs.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w").unionByName(pairs.select(F.col("v").alias("src"), F.col("u").alias("dst"), "w"))
+    total = both.groupBy("src").agg(F.sum("w").alias("total"))
+    moved = both.join(total, "src").select("src", "dst", (F.col("w") * (1 - alpha) / F.col("total")).alias("mass"))
+    stay = inc.select(F.col("node").alias("src")).distinct().join(total, "src", "left")
+    return moved.unionByName(stay.select("src", F.col("src").alias("dst"), F.when(F.col("total").isNull(), 1.0).otherwise(float(alpha)).alias("mass")))
+
+
+def _by_pieces(inc: DataFrame, todo: DataFrame, walks: DataFrame, hops: int, run, schema: str) -> DataFrame:
+    """run's rows for each hyperedge of todo(edge, key): run takes batches of (edge, members, neighbourhood), one of each key."""
+    reps = cut(todo.groupBy("key").agg(F.min("edge").alias("rep")), "reps")
+    pairs = cooccurrence(inc).select("u", "v")
+    step = cut(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "step")
+    member = cut(inc.join(reps.select(F.col("rep").alias("edge")), "edge", "left_semi").select("edge", F.col("node").alias("x")).distinct(), "members")
+    ball = member
+    for _ in range(hops):
+        further = ball.join(step.withColumnRenamed("u", "x"), "x").select("edge", F.col("v").alias("x"))
+        ball = cut(ball.unionByName(further).distinct(), "ball")
+    near = step.groupBy(F.col("u").alias("x")).agg(F.collect_list("v").alias("near"))
+    wanted = walks.join(member.select(F.col("x").alias("src")).distinct(), "src", "left_semi")
+    walk = wanted.groupBy(F.col("src").alias("x")).agg(F.collect_list(F.struct("dst", "mass")).alias("walk"))
+    held = ball.join(near, "x", "left").join(member.join(walk, "x"), ["edge", "x"], "left")
+    local = F.struct("x", F.coalesce("near", F.array().cast("array<long>")).alias("near"), "walk")
+    pieces = held.groupBy("edge").agg(F.array_sort(F.collect_list(F.when(F.col("walk").isNotNull(), F.col("x")))).alias("members"), F.collect_list(local).alias("local"))
+    out = cut(pieces.mapInArrow(run, schema), "pieces")
+    return out.withColumnRenamed("edge", "rep").join(reps, "rep").join(todo.select("edge", "key"), "key").select("edge", *[c for c in out.columns if c != "edge"])
+
+
 def _parts(linked: np.ndarray) -> np.ndarray:
     part, n = np.full(len(linked), -1), 0
     for i in range(len(linked)):
@@ -227,25 +299,32 @@ RESULT = "edge long, card int, n_support int, rounds int, gap double, costs arra
 
 def mmot_curvature(inc: DataFrame, params: TransportParams = TransportParams(), only: DataFrame | None = None) -> DataFrame:
     """The barycentre curvature of all hyperedges (of only(edge), if given). Equal hyperedges meet in one task, and large ones come first."""
-    raw, n = _packed(inc)
-    spark = inc.sparkSession
-    shared = spark.sparkContext.broadcast(raw)
     todo = hyperedges(inc).select("edge", "card", "key")
     if only is not None:
         todo = todo.join(only.select("edge").distinct(), "edge", "left_semi")
-    todo = todo.repartition("key").sortWithinPartitions(F.desc("card"), "key")
+
+    def batch(ids: pa.Array, found: list[dict]) -> pa.RecordBatch:
+        cols = [[f[k] for f in found] for k in ("card", "n_support", "rounds", "gap", "costs", "mean_cost", "curvature", "method")]
+        types = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.string()]
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["edge", "card", "n_support", "rounds", "gap", "costs", "mean_cost", "curvature", "method"])
+
+    packed = _packed(inc)
+    if packed is None:
+
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield batch(b.column(0), [Piece(x.as_py(), params, 5)._curvature(m.as_py()) for m, x in zip(b.column(1), b.column(2), strict=True)])
+
+        return _by_pieces(inc, todo, dispersed_walks(inc, "star", params.alpha), 3, pieces, RESULT)
+    shared, n = inc.sparkSession.sparkContext.broadcast(packed[0]), packed[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = None
         for b in batches:
             local = local or Local(shared.value, n, params)
-            ids = b.column(0).to_pylist()
-            found = [local.curvature(int(np.searchsorted(local.ids, e))) for e in ids]
-            cols = [[f[k] for f in found] for k in ("card", "n_support", "rounds", "gap", "costs", "mean_cost", "curvature", "method")]
-            types = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["edge", "card", "n_support", "rounds", "gap", "costs", "mean_cost", "curvature", "method"])
+            yield batch(b.column(0), [local.curvature(int(np.searchsorted(local.ids, e))) for e in b.column(0).to_pylist()])
 
-    return todo.select("edge").mapInArrow(run, RESULT)
+    return todo.repartition("key").sortWithinPartitions(F.desc("card"), "key").select("edge").mapInArrow(run, RESULT)
 
 
 def mmot_vertex(inc: DataFrame, curved: DataFrame) -> DataFrame:
@@ -266,9 +345,16 @@ def refreshed(inc: DataFrame, curved: DataFrame, removed: DataFrame, params: Tra
 
 def pair_curvature(inc: DataFrame, dispersion: str = "star", aggregation: str = "mean", alpha: float = 0.01, reg: float | None = None) -> DataFrame:
     """(edge, curvature): 1 - the mean (max) of W1 over pairs of a hyperedge's nodes; entropic transport if reg is given."""
-    raw, n = _packed(inc)
-    shared = inc.sparkSession.sparkContext.broadcast(raw)
-    params = TransportParams(alpha=alpha)
+    params, packed = TransportParams(alpha=alpha), _packed(inc)
+    if packed is None:
+
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [Piece(x.as_py(), params, 3).among(m.as_py(), dispersion, aggregation, reg) for m, x in zip(b.column(1), b.column(2), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["edge", "curvature"])
+
+        return _by_pieces(inc, hyperedges(inc).select("edge", "key"), dispersed_walks(inc, dispersion, alpha), 1, pieces, "edge long, curvature double")
+    shared, n = inc.sparkSession.sparkContext.broadcast(packed[0]), packed[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = None

@@ -407,3 +407,41 @@ def test_comparisons(spark):
     inc = inc_of(spark, STAR)
     swept = stats.sweep(transport.mmot_curvature, inc, {str(r): {"params": transport.TransportParams(reg=r)} for r in (0.05, 0.1)})
     assert swept.count() == 18 and swept.filter("gap < 0").count() == 0
+
+
+@pytest.mark.parametrize("radius", [5, 3])
+def test_transport_without_broadcast(spark, monkeypatch, radius):
+    rng = random.Random(radius)
+    edges = [sorted(rng.sample(range(a, a + 9), rng.randrange(2, 5))) for a in range(0, 60, 4) for _ in range(3)]
+    edges += [edges[0], [200, 201], [300, 301, 302]]
+    inc = spark.createDataFrame([(k, n) for k, e in enumerate(edges) for n in e], "edge long, node long")
+    params = transport.TransportParams(radius=radius)
+    lazy = transport.TransportParams(radius=radius, lazy_support=True)
+    options = [("star", "mean"), ("clique", "max"), ("weighted_clique", "mean")]
+
+    def found():
+        curved = [{r["edge"]: r for r in transport.mmot_curvature(inc, p).collect()} for p in (params, lazy)]
+        only = transport.mmot_curvature(inc, params, spark.createDataFrame([(3,), (45,)], "edge long"))
+        return curved, as_dict(only.select("edge", "curvature"), "edge"), [as_dict(transport.pair_curvature(inc, *o), "edge") for o in options]
+
+    held, some, pairs = found()
+    monkeypatch.setattr(transport, "BROADCAST_BYTES", 0)
+    joined, some_joined, pairs_joined = found()
+    for a, b in zip(held, joined, strict=True):
+        assert a.keys() == b.keys() and len(a) == len(edges)
+        for k, r in a.items():
+            assert (r["card"], r["n_support"], r["rounds"], r["method"]) == (b[k]["card"], b[k]["n_support"], b[k]["rounds"], b[k]["method"])
+            assert b[k]["curvature"] == pytest.approx(r["curvature"], abs=1e-9, nan_ok=True)
+    assert some_joined == pytest.approx(some, abs=1e-9) and set(some) == {3, 45}
+    for a, b in zip(pairs, pairs_joined, strict=True):
+        assert len(a) == len(edges) and b == pytest.approx(a, abs=1e-9)
+
+
+def test_lone_nodes_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(transport, "BROADCAST_BYTES", 0)
+    inc = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "edge long, node long")
+    curved = {r["edge"]: r for r in transport.mmot_curvature(inc).collect()}
+    assert curved[2]["method"] == "trivial" and curved[2]["curvature"] == 0
+    with pytest.raises(Exception, match="measure isn't defined"):
+        transport.mmot_curvature(inc.unionByName(spark.createDataFrame([(5, 1)], "edge long, node long"))).collect()
+    assert transport.mmot_curvature(inc.limit(0)).count() == 0
