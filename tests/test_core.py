@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -445,3 +446,34 @@ def test_lone_nodes_without_broadcast(spark, monkeypatch):
     with pytest.raises(Exception, match="measure isn't defined"):
         transport.mmot_curvature(inc.unionByName(spark.createDataFrame([(5, 1)], "edge long, node long"))).collect()
     assert transport.mmot_curvature(inc.limit(0)).count() == 0
+
+
+def _random_sets(spark):
+    rng = random.Random(5)
+    edges = [sorted(rng.sample(range(1, 9), rng.choice([1, 1, 2, 2, 3, 3, 4, 6]))) for _ in range(40)]
+    return inc_of(spark, edges)
+
+
+def test_forman_sums_are_those_of_the_graph(spark):
+    inc = _random_sets(spark)
+    curved = poset.forman_graph(inc)
+    sums, _, _ = poset.forman_sums(inc)
+    assert as_dict(sums.select("edge", "curvature"), "edge") == as_dict(poset.forman_hyperedges(inc, curved), "edge")
+    assert as_dict(poset.forman_vertices(inc), "node") == as_dict(poset.forman_vertices(inc, curved), "node")
+
+
+def test_edges_without_hyperedges(spark):
+    inc = _random_sets(spark)
+    gone = inc.groupBy("edge").agg(F.count("*").alias("card")).filter("card in (3, 6)")
+    cover = cut(poset.covers(inc))
+    whole = poset.without_members(poset.poset_edges(cover), poset.triangles(cover), gone.select((2 * F.col("edge") + 1).alias("member")))
+    assert sorted(map(tuple, poset.edges_without(inc, gone).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_large_supersets_are_not_copied(spark):
+    inc = inc_of(spark, [range(60), range(50), range(5, 40), range(1, 60, 2)])
+    found = poset.edge_containments(inc)
+    assert {tuple(r)[:2] for r in found.collect()} == {(1, 0), (2, 0), (2, 1), (3, 0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    exploded = re.findall(r"Generate explode\(\w*nodes#\d+L?\), (\[[\d, ]+\])?", plan)
+    assert exploded and all(exploded), "rows of single nodes carry the whole set"
