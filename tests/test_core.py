@@ -477,3 +477,21 @@ def test_large_supersets_are_not_copied(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     exploded = re.findall(r"Generate explode\(\w*nodes#\d+L?\), (\[[\d, ]+\])?", plan)
     assert exploded and all(exploded), "rows of single nodes carry the whole set"
+
+
+def test_block_scores_from_a_table(spark, monkeypatch):
+    inc = _random_sets(spark)
+    parts = spark.createDataFrame([(n, n) for n in range(1, 9)], "node long, part long")
+    sizes = dict.fromkeys(range(1, 9), 1)
+
+    def both():
+        score = clustering.BlockScores(inc, parts)
+        blocks = clustering.greedy_attach(sizes, score, 5)
+        merged, q = clustering.optimal_attach(blocks, score, 3)
+        return score, blocks, merged, q, score(frozenset([1, 2, 3]))
+
+    held = both()
+    monkeypatch.setattr(clustering, "PATTERN_ENTRIES", 0)
+    left = both()
+    assert left[0].patterns == [] and left[0].table is not None
+    assert left[1:3] == held[1:3] and left[3:] == pytest.approx(held[3:])
