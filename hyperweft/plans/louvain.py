@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from hyperweft.operators.graph import hypergraph_components
 from hyperweft.operators.incidence import with_card
+from hyperweft.plans.storage import cut
 
 
 @dataclass(frozen=True)
@@ -181,19 +182,22 @@ def h_louvain(inc: DataFrame, params: LouvainParams = LouvainParams(), weights:
     """(node, part): communities named by one of their nodes; hyperedges of fewer than two nodes don't count, and nodes without others are alone."""
     e = with_card(inc, 2)
     e = e.join(weights.select("edge", "weight"), "edge") if weights is not None else e.withColumn("weight", F.lit(1.0))
-    sizes = {r["card"]: r["n"] for r in e.select("edge", "card", "weight").distinct().groupBy("card").agg(F.sum("weight").alias("n")).collect()}
+    # equal hyperedges only ever count together: one of them has the weight of all
+    sets = e.groupBy("edge").agg(F.array_sort(F.collect_list("node")).alias("nodes"), F.first("weight").alias("weight"))
+    sets = cut(sets.groupBy("nodes").agg(F.min("edge").alias("edge"), F.sum("weight").alias("weight")), "sets")
+    sizes = {r["card"]: r["n"] for r in sets.groupBy(F.size("nodes").alias("card")).agg(F.sum("weight").alias("n")).collect()}
     total = float(sum(d * n for d, n in sizes.items()))
-    parts = hypergraph_components(e.select("edge", "node"))
-    placed = e.join(parts, "node").groupBy("part").agg(F.collect_list(F.struct("edge", "node", "weight")).alias("rows"))
+    parts = hypergraph_components(sets.select("edge", F.explode("nodes").alias("node")))
+    first = sets.select(F.col("nodes")[0].alias("node"), "edge", "nodes", "weight")
+    placed = first.join(parts, "node").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("edge", "nodes", "weight"))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rows in b.column(0).to_pylist():
-                edges: dict[int, list[int]] = defaultdict(list)
-                w = {}
-                for r in rows:
-                    edges[r["edge"]].append(r["node"])
-                    w[r["edge"]] = r["weight"]
+            for k in range(b.num_rows):
+                rows = b.column(0).slice(k, 1).flatten()
+                ids = rows.field("edge").to_pylist()
+                edges = dict(zip(ids, rows.field("nodes").to_pylist(), strict=True))
+                w = dict(zip(ids, rows.field("weight").to_pylist(), strict=True))
                 found = local_moves(State(edges, w, sizes, total, params))
                 yield pa.RecordBatch.from_pydict({"node": pa.array(list(found), pa.int64()), "part": pa.array(list(found.values()), pa.int64())})
 

@@ -495,3 +495,13 @@ def test_block_scores_from_a_table(spark, monkeypatch):
     left = both()
     assert left[0].patterns == [] and left[0].table is not None
     assert left[1:3] == held[1:3] and left[3:] == pytest.approx(held[3:])
+
+
+def test_h_louvain_weighs_equal_hyperedges_once(spark, monkeypatch):
+    sets = []
+    monkeypatch.setattr(louvain, "cut", lambda df, tag: sets.append(cut(df, tag)) or sets[-1], raising=False)
+    edges = [[1, 2, 3], [2, 3], [4, 5, 6], [5, 6], [3, 4]]
+    found = as_dict(louvain.h_louvain(inc_of(spark, edges * 7)), "node", "part")
+    assert sets[0].count() == len(edges) and {r["weight"] for r in sets[0].collect()} == {7.0}
+    weights = spark.createDataFrame([(k, 7.0) for k in range(len(edges))], "edge long, weight double")
+    assert found == as_dict(louvain.h_louvain(inc_of(spark, edges), weights=weights), "node", "part")
