@@ -122,6 +122,29 @@ def test_node_measure(spark):
     assert all(sum(m.values()) == pytest.approx(1) for m in mass.values())
 
 
+def test_node_measure_sums_pairs_where_they_are_made(spark, monkeypatch):
+    monkeypatch.setattr(transport, "BLOCK_PAIRS", 7, raising=False)
+    edges = [tuple(sorted({(k * 7 + j * j * (k % 5 + 1)) % 23 for j in range(k % 6 + 1)})) for k in range(40)]
+    deg, want = defaultdict(int), defaultdict(float)
+    for e in edges:
+        for u in e:
+            deg[u] += 1
+    for e in edges:
+        for u in e:
+            for v in e:
+                if u != v or len(e) == 1:
+                    want[u, v] += 0.99 / deg[u] / max(len(e) - 1, 1)
+    for u in deg:
+        want[u, u] += 0.01
+    found = transport.node_measure(inc_of(spark, edges))
+    rows = found.collect()
+    assert {(r["src"], r["dst"]): r["mass"] for r in rows} == pytest.approx(dict(want)) and len(rows) == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # pairs aren't shuffled
+    assert transport.node_measure(inc_of(spark, [])).count() == 0
+    assert {(r["src"], r["dst"]) for r in transport.node_measure(inc_of(spark, [(1,), (2, 3)]), 0.0).collect()} == {(1, 1), (2, 3), (3, 2)}
+
+
 def test_supports_match_the_kernel(spark):
     inc = inc_of(spark, TOY + STAR[4:])
     raw, n = transport._packed(inc)
