@@ -97,6 +97,21 @@ def test_poset_shuffles_no_whole_hyperedges_for_pairs(spark, monkeypatch):
         assert "Exchange hashpartitioning" not in plan
 
 
+def test_ring_of_hyperedges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK_DEGREES", 9)
+    monkeypatch.setattr(graph, "PIECE", 2)
+    rng = random.Random(3)
+    inc = inc_of(spark, [rng.sample(range(30), rng.choice([1, 2, 2, 2, 3])) for _ in range(40)])
+    ends = [(rng.randrange(32), rng.choice([0, 0, rng.randrange(32)])) for _ in range(40)]
+    pairs = spark.createDataFrame([*ends, ends[0], (5, 5), (99, 98)], "a long, b long")
+    for inner, outer in ((1, 2), (0, 1), (1, 3)):
+        found = graph.ring_of_hyperedges(inc, pairs, inner, outer)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, graph.ring(incidence.cooccurrence(inc), pairs, inner, outer).collect()))
+    assert graph.ring_of_hyperedges(inc.limit(0), pairs, 1, 2).isEmpty() and graph.ring_of_hyperedges(inc, pairs.limit(0), 1, 2).isEmpty()
+    top = found._jdf.queryExecution().executedPlan().toString().split("Exchange")[0]
+    assert "MapInArrow" in top and "Aggregate" not in top  # rings aren't shuffled
+
+
 def test_removal_from_the_poset(spark):
     inc = inc_of(spark, TOY)
     cover = cut(poset.covers(inc))
