@@ -15,6 +15,7 @@ image: any range of ids is unpacked from its own blocks alone, by numpy.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -113,14 +114,85 @@ BUNDLE = 1000
 ALONE = np.zeros(256, dtype=bool)
 ALONE[[ord(","), ord(".")]] = True
 
+#: Steps before the model for which `Pieces` cuts words by itself.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: What bytes of a plain word are: letters (a-z, and C3 with the second bytes of small Latin letters), digits, other ASCII signs. Words
+#: with other bytes (0) aren't plain, nor are those with ' or <, which may begin a contraction or a special token.
+LETTER, DIGIT, SIGN = 1, 2, 3
+KIND = np.zeros(256, dtype=np.uint8)
+KIND[33:127] = SIGN
+KIND[ord("0") : ord("9") + 1] = DIGIT
+KIND[ord("A") : ord("Z") + 1] = 0
+KIND[[*range(ord("a"), ord("z") + 1), 0xC3, *range(0x9F, 0xC0)]] = LETTER
+KIND[[ord("'"), ord("<"), 0xB7]] = 0
+#: The character that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next one from 256 on.
+SHOWN = np.zeros(256, dtype="<u4")
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SHOWN[_PRINTABLE] = _PRINTABLE
+_HIDDEN = sorted(set(range(256)) - set(_PRINTABLE))
+SHOWN[_HIDDEN] = np.arange(256, 256 + len(_HIDDEN))
+
+
+class Pieces:
+    """Plain words to ids: they are cut as the tokenizer would cut them, and its own model encodes the pieces.
+
+    A plain word is the same after normalizing, so the model is given its pieces with a space between them, without the
+    normalizer and the regular expression, which take most of the time. A piece's last id is one with the model's suffix.
+    """
+
+    def __init__(self, tokenizer, suffix: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+        self.tokenizer = Tokenizer(tokenizer.model)
+        self.tokenizer.pre_tokenizer = CharDelimiterSplit(" ")
+        vocab = tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for word, i in vocab.items() if word.endswith(suffix)]] = True
+
+    @classmethod
+    def of(cls, tokenizer) -> Pieces | None:
+        """None for tokenizers with other steps before the model, or whose model doesn't end every piece by its suffix."""
+        made = json.loads(tokenizer.to_str())
+        model, suffix = made["model"], made["model"].get("end_of_word_suffix") or ""
+        steps = made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+        # plain words have no <, so that they hold no special token, and their ids' strings have it in the suffix alone
+        if not steps or made["truncation"] or made["padding"] or "<" not in suffix or any("<" not in x["content"] for x in made["added_tokens"]):
+            return None
+        if model["type"] != "BPE" or model["dropout"] or model["continuing_subword_prefix"] or model["ignore_merges"]:
+            return None
+        shown = list(map(chr, SHOWN.tolist()))
+        return cls(tokenizer, suffix) if all(c in model["vocab"] and c + suffix in model["vocab"] for c in shown) else None
+
+    def __call__(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has) of plain words that lie in data one after the other, in runs of `size` bytes."""
+        kind, start = KIND[data], np.cumsum(size) - size
+        begins = kind == DIGIT
+        begins[1:] |= kind[1:] != kind[:-1]
+        begins[start] = True
+        order = np.cumsum(begins)
+        shown = np.full(len(data) + order[-1], ord(" "), dtype="<u4")
+        shown[np.arange(len(data)) + order] = SHOWN[data]
+        text = shown.tobytes().decode("utf-32-le")
+        at = np.flatnonzero(begins)[::BUNDLE]
+        cuts = [*(at + order[at] - 1).tolist(), len(text)]
+        found = self.tokenizer.encode_batch_fast([text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in found])
+        ends = np.flatnonzero(self.ends[ids])
+        if len(ends) != order[-1]:
+            raise RuntimeError("the model does not end every piece by its suffix")
+        return ids, np.diff(ends[order[start + size - 1] - 1] + 1, prepend=0)
+
 
 class Encoder:
     """Texts to ids, by encoding each distinct word once; for tokenizers of this kind (see WholeEncoder for others).
 
     The tokenizer drops white space, never joins across it, and lower-cases. So texts are cut at white space (and
     before a comma or full stop that ends a word), and A-Z are folded where that can't change what the tokenizer
-    composes or takes for a special token. A direct-mapped table of 64-bit hashes remembers the ids and the bytes of up to
-    2**bits words; pools of ids and bytes start anew at `pool` of them, which bounds the memory. The bytes of every word are
+    composes or takes for a special token. A table of 64-bit hashes, with two places for each, remembers the ids and the bytes
+    of up to 2**bits words; pools of ids and bytes start anew at `pool` of them, which bounds the memory. The bytes of every word are
     compared with those of the word whose ids it gets: hashes choose what is compared and decide nothing.
     """
 
@@ -133,19 +205,42 @@ class Encoder:
         self.end = np.array([] if end is None else [end], dtype=np.uint32)
         alone = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = alone[0] if len(alone) == 1 else None
-        self.shift, self.limit = np.uint64(64 - bits), pool
+        self.pieces = Pieces.of(self.tokenizer)
+        self.shift, self.mask, self.limit = np.uint64(64 - bits), np.uint64((1 << bits) - 1), pool
         self._reset()
 
     def _reset(self) -> None:
         size = 1 << (64 - int(self.shift))
-        self.keys, self.start, self.count, self.at, self.length = np.zeros(size, np.uint64), *(np.zeros(size, np.int64) for _ in range(4))
+        self.keys, self.start, self.count, self.at, self.length = np.zeros(size, np.uint64), *(np.zeros(size, np.uint32) for _ in range(4))
         # the end id is at the front
         self.pool, self.used = np.zeros(1 << 16, np.uint32), len(self.end)
         self.pool[: self.used] = self.end
         self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Where each word's ids start in the pool, and how many there are.
+    def _encode(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's ids start in the pool, and how many there are. The words lie in data one after the other, in runs of `size` bytes."""
+        start, count = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        begin = np.cumsum(size) - size
+        plain = np.logical_and.reduceat(KIND[data] > 0, begin) if self.pieces else np.zeros(len(size), dtype=bool)
+        some, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        if len(some):
+            ids, count[some] = self.pieces(data[np.repeat(plain, size)], size[some])
+            start[some] = self._pooled(ids) + np.cumsum(count[some]) - count[some]
+        if len(rest):
+            raw = data.tobytes()
+            ids, count[rest] = self._bundled([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(begin[rest].tolist(), (begin + size)[rest].tolist(), strict=True)])
+            start[rest] = self._pooled(ids) + np.cumsum(count[rest]) - count[rest]
+        return start, count
+
+    def _pooled(self, ids: np.ndarray) -> int:
+        """Where ids start in the pool, once they are at its end."""
+        start, self.used = self.used, self.used + len(ids)
+        self.pool = _grown(self.pool, self.used)
+        self.pool[start : self.used] = ids
+        return start
+
+    def _bundled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has).
 
         Words are encoded BUNDLE at a time as one text, with a mark between them that is a token of its own between spaces; bundles
         in which a word holds the mark are encoded word by word.
@@ -163,13 +258,13 @@ class Encoder:
                 ids = np.array(next(encoded).ids, dtype=np.uint32)
                 marks = np.flatnonzero(ids == self.mark)
                 parts.append((np.delete(ids, marks), np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1))
-        ids = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.uint32)
-        counts = np.concatenate([n for _, n in parts]) if parts else np.zeros(0, np.int64)
-        self.pool = _grown(self.pool, self.used + len(ids))
-        self.pool[self.used : self.used + len(ids)] = ids
-        starts = self.used + np.cumsum(counts) - counts
-        self.used += len(ids)
-        return starts, counts
+        return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _holds(self, slot: np.ndarray, h: np.ndarray, size: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Whether the table has each word in its slot, by hash, length and bytes. The words lie in data one after the other."""
+        at = np.repeat(self.at[slot] - (np.cumsum(size) - size), size)
+        at += np.arange(len(data))
+        return (self.keys[slot] == h) & (self.length[slot] == size) & _equal_runs(data, self.raw, at, size)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids start and one more)."""
@@ -179,29 +274,32 @@ class Encoder:
         data = _folded(data)
         first, last, texts = word_spans(data, offsets, SPACES, ALONE)
         h, size = word_hashes(data, first, last), last - first
-        words, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        slot = (words >> self.shift).astype(np.int64)
-        start, count = self.start[slot], self.count[slot]
-        known = (self.keys[slot] == words) & (words != 0) & (self.length[slot] == size[where])
-        hits = np.flatnonzero(known)
-        same = _equal_bytes(data, first[where[hits]], self.raw, self.at[slot[hits]], size[where[hits]])
-        known[hits] = same
-        if not ((size[where][inverse] == size).all() and _equal_bytes(data, first, data, first[where][inverse], size).all()):
-            return self.whole(column)  # two words of one hash in these texts
-        new = np.flatnonzero(~known)
+        slot = (h >> self.shift).astype(np.int64)
+        # what isn't white space are the words' bytes, one word after the other
+        rest = np.flatnonzero(~self._holds(slot, h, size, data[~SPACES[data]]))
+        second = (h[rest] & self.mask).astype(np.int64)
+        found = self._holds(second, h[rest], size[rest], data[_spread(first[rest], size[rest])])
+        slot[rest[found]] = second[found]
+        start, count = self.start[slot].astype(np.int64), self.count[slot].astype(np.int64)
+        new = rest[~found]
         if len(new):
-            raw = data.tobytes()
-            at = where[new]
-            start[new], count[new] = self._encode([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)])
-            to, length = slot[new], size[at]
+            words, where, inverse = np.unique(h[new], return_index=True, return_inverse=True)
+            at = new[where]
+            mine, one = _spread(first[new], size[new]), at[inverse]
+            if not ((size[one] == size[new]).all() and _equal_runs(data[mine], data, _spread(first[one], size[new]), size[new]).all()):
+                return self.whole(column)  # two words of one hash in these texts
+            length, to, second = size[at], slot[at], (words & self.mask).astype(np.int64)
+            to = np.where((self.length[to] > 0) & (self.length[second] == 0), second, to)
             bytes_ = data[_spread(first[at], length)]
+            starts, counts = self._encode(bytes_, length)
+            start[new], count[new] = starts[inverse], counts[inverse]
             self.raw = _grown(self.raw, self.raw_used + len(bytes_))
             self.raw[self.raw_used : self.raw_used + len(bytes_)] = bytes_
-            self.keys[to], self.start[to], self.count[to] = words[new], start[new], count[new]
+            self.keys[to], self.start[to], self.count[to] = words, starts, counts
             self.at[to], self.length[to] = self.raw_used + np.cumsum(length) - length, length
             self.raw_used += len(bytes_)
         # after each text's words comes the end id, which stands at the front of the pool
-        start, count = (np.insert(x[inverse], texts[1:], v) for x, v in ((start, 0), (count, len(self.end))))
+        start, count = (np.insert(x, texts[1:], v) for x, v in ((start, 0), (count, len(self.end))))
         before = np.concatenate([[0], np.cumsum(count)])
         ids = self.pool[np.repeat(start - before[:-1], count) + np.arange(before[-1])]
         return ids, before[texts + np.arange(len(texts))]
@@ -219,13 +317,9 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
 
 
-def _equal_bytes(a: np.ndarray, start_a: np.ndarray, b: np.ndarray, start_b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each pair of runs of `size` bytes, whether they are equal."""
-    out = np.ones(len(size), dtype=bool)
-    differ = np.flatnonzero(a[_spread(start_a, size)] != b[_spread(start_b, size)])
-    if len(differ):
-        out[np.searchsorted(np.cumsum(size), differ, "right")] = False
-    return out
+def _equal_runs(a: np.ndarray, b: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each run of `size` bytes (a holds them one after the other) whether b has the same at the places `at`; places outside are taken as its ends."""
+    return ~np.logical_or.reduceat(a != b.take(at, mode="clip"), np.cumsum(size) - size) if len(size) else np.zeros(0, dtype=bool)
 
 
 class WholeEncoder:
@@ -260,7 +354,8 @@ def _folded(data: np.ndarray) -> np.ndarray:
     if b"<|" in raw:
         return data
     low = raw.lower()
-    if not raw.isascii() and not (is_normalized("NFC", raw.decode("utf-8", "surrogatepass")) and is_normalized("NFC", low.decode("utf-8", "surrogatepass"))):
+    # characters before the first combining mark, U+0300 (CC 80 in UTF-8), are composed as they are
+    if len(data) and data.max() >= 0xCC and not (is_normalized("NFC", raw.decode("utf-8", "surrogatepass")) and is_normalized("NFC", low.decode("utf-8", "surrogatepass"))):
         return data
     return np.frombuffer(low, dtype=np.uint8)
 
