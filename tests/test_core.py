@@ -279,6 +279,49 @@ def test_static_clustering(spark):
     assert clustering.partition_modularity(inc, clusters).first()["q"] == pytest.approx(q)
 
 
+def test_removals_are_looked_at_in_memory(spark, monkeypatch):
+    edges = [*two_groups(), [3], list(range(0, 24, 5))]
+    inc = cut(inc_of(spark, edges))
+    order = cut(spark.createDataFrame([(k * 7 % 53 + 1, k) for k in range(53)], "step long, edge long"))
+    nodes = inc.select("node").distinct()
+    held = clustering._Held(inc, order)
+    for n in (0, 20, 40, 47, 53):
+        left = inc.join(order.filter(F.col("step") <= n).select("edge"), "edge", "left_anti")
+        sizes = clustering.component_sizes(graph.hypergraph_components(left, nodes))
+        assert [held.stops(n, k) for k in (2, 3, 5)] == [clustering.should_stop(sizes, k).first()["stop"] for k in (2, 3, 5)]
+    monkeypatch.setattr(clustering, "BROADCAST_BYTES", 0)
+    far = [clustering.first_stop(inc, order, 3, 53), clustering.first_stop(inc, order, 2, 10)]
+    monkeypatch.setattr(clustering, "BROADCAST_BYTES", 1 << 20)
+    monkeypatch.setattr(clustering, "hypergraph_components", None)  # not a distributed search for each probe
+    assert [clustering.first_stop(inc, order, 3, 53), clustering.first_stop(inc, order, 2, 10)] == far
+
+
+def test_component_labels():
+    rng = random.Random(9)
+    for edges in ([[k, k + 1] for k in range(39)], [[39 - k, (k * 17) % 40] for k in range(25)], [rng.sample(range(40), rng.randrange(1, 5)) for _ in range(12)]):
+        want = list(range(40))
+        for _ in edges:
+            for e in edges:
+                low = min(want[x] for x in e)
+                want = [low if x in {want[y] for y in e} else x for x in want]
+        first = np.cumsum([0, *map(len, edges)])
+        assert kernels.component_labels(first, np.concatenate(edges), 40).tolist() == want
+
+
+@pytest.mark.parametrize("tau", [1.0, 2.0, math.inf])
+def test_tax_of_large_hyperedges(spark, tau):
+    score = clustering.BlockScores(inc_of(spark, [range(3), range(70), range(150), range(90, 300)]), spark.createDataFrame([(k, k % 2) for k in range(300)], "node long, part int"), tau)
+
+    def term(d, c, x):
+        return math.comb(d, c) * x**c * (1 - x) ** (d - c) * score.weight(d, c)
+
+    for vol in (0, 1, score.all // 3, score.all // 2, score.all - 40, score.all):
+        assert score.tax(vol) == pytest.approx(sum(term(d, c, vol / score.all) for d in score.sizes for c in range(d // 2 + 1, d + 1)), rel=1e-10, abs=1e-300)
+    # coefficients that no float holds
+    score = clustering.BlockScores(inc_of(spark, [range(3000)]), spark.createDataFrame([(k, k % 2) for k in range(3000)], "node long, part int"), 1.0)
+    assert score.tax(1800) == pytest.approx(0.6) and score.tax(1200) < 1e-20
+
+
 def test_no_component_is_left_unattached(spark, monkeypatch):
     # a bound on the parts that are looked at gave all others cluster 0
     monkeypatch.setattr(clustering, "DRIVER_PARTS", 3, raising=False)
