@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hyperweft.functions import kernels, stats
-from hyperweft.operators import dual, generators, graph, incidence, modularity, poset, transport
+from hyperweft.operators import blocks, dual, generators, graph, incidence, modularity, poset, transport
 from hyperweft.plans import clustering, louvain, measures
 from hyperweft.plans.storage import cut, mean_ranks, numbered, running_sum
 
@@ -112,6 +112,38 @@ def test_ring_of_hyperedges(spark, monkeypatch):
     assert "MapInArrow" in top and "Aggregate" not in top  # rings aren't shuffled
 
 
+def test_hyperedges_are_dealt_packed(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [rng.sample(range(-50, 250), rng.randrange(1, 6)) for _ in range(200)] + [[-(1 << 62), 1 << 62, 3], list(range(0, 250, 3))]
+    sets = blocks.sets(inc_of(spark, edges))
+    near = cut(spark.createDataFrame([(n % 4, n) for n in range(0, 250, 20)] + [(9, 0), (3, 1 << 62), (5, 9999)], "block long, node long"))
+    want, around = defaultdict(set), set()
+    for r in near.collect():
+        for e in edges:
+            if r["node"] in e:
+                want[r["block"]].add(tuple(sorted(e)))
+                around |= {(r["block"], n) for n in e}
+    for bound in (64, 1 << 20):  # in passes, and at once
+        monkeypatch.setattr(blocks, "BROADCAST_BYTES", bound)
+        found, n = defaultdict(list), 0
+        for r in blocks.dealt(sets, near).collect():
+            sizes, members = blocks.unpacked(r["base"], r["sizes"], r["members"])
+            found[r["block"]] += map(tuple, np.split(members, np.cumsum(sizes)[:-1]))
+            n += len(r["members"]) + len(r["sizes"])
+        assert {k: set(map(tuple, np.array(v, object))) for k, v in found.items()} == want
+        assert {tuple(r) for r in blocks.neighbours(sets, near).collect()} == around
+    assert len(blocks.packed(np.full(1000, 4), np.arange(4000))[2]) < 3 * 1000 + 2 * 1000 + 20
+    plan = blocks.dealt(sets, near)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan  # only a block's own rows are shuffled, to it
+
+
+def test_what_was_shuffled_for_a_table_goes(spark):
+    from hyperweft.plans.storage import CLEANUP
+
+    before = spark.conf.get(CLEANUP, None)
+    assert cut(spark.range(100).repartition(3)).count() == 100 and spark.conf.get(CLEANUP, None) == before
+
+
 def test_removal_from_the_poset(spark):
     inc = inc_of(spark, TOY)
     cover = cut(poset.covers(inc))
