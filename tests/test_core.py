@@ -219,6 +219,22 @@ def test_node_measure_sums_pairs_where_they_are_made(spark, monkeypatch):
     assert {(r["src"], r["dst"]) for r in transport.node_measure(inc_of(spark, [(1,), (2, 3)]), 0.0).collect()} == {(1, 1), (2, 3), (3, 2)}
 
 
+def test_node_measure_deals_a_hyperedge_once_to_each_block(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(transport, "BLOCK_PAIRS", 7, raising=False)  # blocks by pairs got a copy of a hyperedge for each of its nodes
+    monkeypatch.setattr(transport, "BLOCK_DEGREES", 40, raising=False)
+    monkeypatch.setattr(transport, "PIECE", 3, raising=False)
+    monkeypatch.setattr(blocks, "dealt", lambda edges, near, f=blocks.dealt: dealt.append(f(edges, near)) or dealt[-1])
+    edges = [range(60), range(0, 60, 2), [70], [70, 71], [3]]
+    rows = transport.node_measure(inc_of(spark, edges)).collect()
+    assert sum(len(blocks.decoded(r["sizes"])) for r in dealt[0].collect()) <= 3 * len(edges)
+    mass = {(r["src"], r["dst"]): r["mass"] for r in rows}
+    assert len(mass) == len(rows) == 60 * 60 + 4
+    assert mass[3, 3] == pytest.approx(0.01 + 0.495) and mass[3, 5] == pytest.approx(0.495 / 59) and mass[2, 4] == pytest.approx(0.495 / 59 + 0.495 / 29)
+    assert {(a, b) for a, b in mass if a > 60} == {(70, 70), (70, 71), (71, 70), (71, 71)} and mass[70, 70] == pytest.approx(0.505)
+    assert {r["mass"] for r in transport.node_measure(inc_of(spark, [[1, 2]]), 1.0).collect()} == {0.0, 1.0}
+
+
 def test_supports_match_the_kernel(spark):
     inc = inc_of(spark, TOY + STAR[4:])
     raw, n = transport._packed(inc)
